@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.wordcut import words
-from tidewater.llm.trie import Budget, Trie
+from tidewater.llm.trie import SIGNED, Budget, signature_join
 from tidewater.operators.components import connected_components
 from tidewater.session import materialize
 
@@ -30,8 +30,6 @@ BITS = 128
 CLASSES = 1 << 18
 #: Words of classes seen more often than this sign only in pairs.
 RARE = 64
-#: Rows of a signature that one tile side may hold.
-TILE = 2048
 MIN_WORDS, NUM, DEN = 8, 7, 10
 
 
@@ -111,6 +109,7 @@ def _signatures(counts_ref, num: int, den: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = counts_ref.value
         lengths: dict[int, tuple[int, int]] = {}
+        pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             if not len(b):
                 continue
@@ -132,108 +131,37 @@ def _signatures(counts_ref, num: int, den: int):
                 at = start[r]
                 w, often = flat[at : at + long].view(np.uint64), seen[at : at + long] > RARE
                 k = int(long - often.sum())  # sorted by frequency: the rare words come first
-                i, j = np.triu_indices(long - k, 1)
+                if long - k not in pairs:
+                    pairs[long - k] = np.triu_indices(long - k, 1)
+                i, j = pairs[long - k]
                 sig = np.concatenate((w[:k], _mix(w[k:][i]) ^ (_mix(w[k:][j]) << np.uint64(1))))
                 last = np.concatenate((np.arange(k), k + j))
                 sigs.append(sig)
                 both.append(last < short)
                 rows.append(np.full(len(sig), r))
             rows = np.concatenate(rows)
+            halves = prints.view(np.int64)
             yield pd.DataFrame(
                 {
                     "sig": np.concatenate(sigs).view(np.int64),
                     "key": b["key"].to_numpy()[rows],
                     "size": n[rows].astype(np.int32),
                     "probe": (~np.concatenate(both)).astype(np.int8),
-                    "print": [prints[r].tobytes() for r in rows],
+                    "p0": halves[rows, 0],
+                    "p1": halves[rows, 1],
                 }
             )
 
     return emit
 
 
-SIGNED = "sig bigint, key bigint, size int, probe tinyint, print binary"
-
-
-def _join_tiles(num: int, den: int):
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        prints = np.frombuffer(b"".join(t["print"]), np.uint16).reshape(len(t), -1)
-        # A root per tile, chunk and role; the chunks of a tile are its smaller and larger one.
-        tile, chunk, probe = (t[c].to_numpy() for c in ("tile", "chunk", "probe"))
-        order = np.lexsort((*prints.T[::-1], probe, chunk, tile))
-        tile, chunk, probe, prints = tile[order], chunk[order], probe[order], prints[order]
-        keys, sizes = t["key"].to_numpy()[order], t["size"].to_numpy()[order].astype(np.int64)
-        cross = t["cross"].to_numpy()[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (tile[1:] != tile[:-1]) | (chunk[1:] != chunk[:-1]) | (probe[1:] != probe[:-1])
-        first = np.flatnonzero(new)
-        trie = Trie(np.cumsum(new), prints, sizes)
-        rt, rc, rp, rx = tile[first], chunk[first], probe[first], cross[first]
-        a, b = [], []
-        # Roots of one tile are neighbours, at most four of them.
-        for gap in range(4):
-            i = np.arange(len(first) - gap)
-            j = i + gap
-            same = rt[i] == rt[j]
-            # Two words that only larger sets look at needn't meet; of a tile of two chunks
-            # each chunk is joined with itself elsewhere.
-            want = same & ~((rp[i] == 1) & (rp[j] == 1)) & (~rx[i] | (rc[i] != rc[j]))
-            a.append(i[want])
-            b.append(j[want])
-        x, y = trie.join(np.concatenate(a), np.concatenate(b), Budget(num, den))
-        kx, ky = keys[x], keys[y]
-        got = np.unique(np.stack((np.minimum(kx, ky), np.maximum(kx, ky)), 1), axis=0)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
-
-    def shared(t: pd.DataFrame) -> pd.DataFrame:
-        """Without the tiles of one row."""
-        tile = t["tile"].to_numpy()
-        twin = np.zeros(len(t), bool)
-        same = tile[1:] == tile[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-        return t[twin].reset_index(drop=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by tile; whole tiles are joined many at a time."""
-        held: list[pd.DataFrame] = []
-        n = 0
-        for b in batches:
-            held.append(b)
-            n += len(b)
-            if n < 100_000:
-                continue
-            t = pd.concat(held, ignore_index=True)
-            last = t["tile"].to_numpy() == t["tile"].iloc[-1]  # its rows may go on
-            if len(s := shared(t[~last])):
-                yield solve(s)
-            held, n = [t[last]], int(last.sum())
-        if n and len(s := shared(pd.concat(held, ignore_index=True))):
-            yield solve(s)
-
-    return run
-
-
 def class_pairs(classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """``(a, b)`` with a < b: keys of all classes ``(key, words)`` of different sets whose
     Jaccard similarity is at least num/den."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(class_counts(classes))
     signed = classes.select("key", "words").mapInPandas(_signatures(counts, num, den), SIGNED)
-    # Only signatures too large for a tile are listed; most runs have few or none.
-    hot = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    hot = materialize(hot.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")), "hot")
-    if hot.isEmpty():
-        tiled = signed.select(F.col("sig").alias("tile"), F.lit(0).alias("chunk"), F.lit(False).alias("cross"), "key", "size", "probe", "print")
-    else:
-        t = signed.join(hot, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        t = t.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-        t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
-        tile = F.when(F.col("chunks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", lo, hi))
-        tiled = t.select(tile.alias("tile"), "chunk", (lo != hi).alias("cross"), "key", "size", "probe", "print")
-    tiled = tiled.repartition("tile").sortWithinPartitions("tile")
-    near = tiled.mapInPandas(_join_tiles(num, den), "a bigint, b bigint").distinct()
+    near = signature_join(signed, Budget(num, den))
     left = classes.select(F.col("key").alias("a"), F.col("words").alias("wa"))
     right = classes.select(F.col("key").alias("b"), F.col("words").alias("wb"))
     both = near.join(left, "a").join(right, "b")

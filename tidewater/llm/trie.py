@@ -8,11 +8,21 @@ visits the same surviving nodes as single bits do."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.session import materialize
 
 STEP = 16
 #: Pairs of nodes or rows that are expanded at once.
 FRONTIER = 1 << 20
+#: Rows of a signature that one tile side may hold.
+TILE = 2048
+SIGNED = "sig bigint, key bigint, size int, probe tinyint, p0 bigint, p1 bigint"
 
 
 class Budget:
@@ -31,6 +41,18 @@ class Budget:
         return (hi_a * self.den >= lo_b * self.num) & (hi_b * self.den >= lo_a * self.num)
 
 
+class FixedBudget:
+    """The same number of bits for all pairs, whose sizes must fit num/den."""
+
+    def __init__(self, most: int, num: int, den: int):
+        self.most, self.num, self.den = most, num, den
+
+    def bits(self, total: np.ndarray) -> np.ndarray:
+        return np.full(len(total), self.most)
+
+    sizes_fit = Budget.sizes_fit
+
+
 def _cross(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each k all (i, j) with i < na[k], j < nb[k]: arrays of k, i, j."""
     n = na * nb
@@ -62,7 +84,7 @@ class Trie:
         ]
         self.row = np.append(self.starts[-1], n)
 
-    def join(self, a: np.ndarray, b: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:
+    def join(self, a: np.ndarray, b: np.ndarray, budget: Budget | FixedBudget) -> tuple[np.ndarray, np.ndarray]:
         """Row pairs below the root pairs (a, b) within the budget. A root joined with itself
         gives each pair of rows once, and no row with itself."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -96,3 +118,85 @@ class Trie:
             none = np.empty(0, np.int64)
             return none, none
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _join_tiles(budget: Budget | FixedBudget):
+    def solve(t: pd.DataFrame) -> pd.DataFrame:
+        prints = np.ascontiguousarray(t[["p0", "p1"]].to_numpy(np.int64)).view(np.uint16)
+        # A root per tile, chunk and role; the chunks of a tile are its smaller and larger one.
+        tile, chunk, probe = (t[c].to_numpy() for c in ("tile", "chunk", "probe"))
+        order = np.lexsort((*prints.T[::-1], probe, chunk, tile))
+        tile, chunk, probe, prints = tile[order], chunk[order], probe[order], prints[order]
+        keys, sizes = t["key"].to_numpy()[order], t["size"].to_numpy()[order].astype(np.int64)
+        cross = t["cross"].to_numpy()[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (tile[1:] != tile[:-1]) | (chunk[1:] != chunk[:-1]) | (probe[1:] != probe[:-1])
+        first = np.flatnonzero(new)
+        trie = Trie(np.cumsum(new), prints, sizes)
+        rt, rc, rp, rx = tile[first], chunk[first], probe[first], cross[first]
+        a, b = [], []
+        # Roots of one tile are neighbours, at most four of them.
+        for gap in range(4):
+            i = np.arange(len(first) - gap)
+            j = i + gap
+            same = rt[i] == rt[j]
+            # Two words that only larger sets look at needn't meet; of a tile of two chunks
+            # each chunk is joined with itself elsewhere.
+            want = same & ~((rp[i] == 1) & (rp[j] == 1)) & (~rx[i] | (rc[i] != rc[j]))
+            a.append(i[want])
+            b.append(j[want])
+        x, y = trie.join(np.concatenate(a), np.concatenate(b), budget)
+        kx, ky = keys[x], keys[y]
+        got = np.unique(np.stack((np.minimum(kx, ky), np.maximum(kx, ky)), 1), axis=0)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+
+    def shared(t: pd.DataFrame) -> pd.DataFrame:
+        """Without the tiles of one row."""
+        tile = t["tile"].to_numpy()
+        twin = np.zeros(len(t), bool)
+        same = tile[1:] == tile[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        return t[twin].reset_index(drop=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by tile; whole tiles are joined many at a time."""
+        held: list[pd.DataFrame] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n < 100_000:
+                continue
+            t = pd.concat(held, ignore_index=True)
+            last = t["tile"].to_numpy() == t["tile"].iloc[-1]  # its rows may go on
+            if len(s := shared(t[~last])):
+                yield solve(s)
+            held, n = [t[last]], int(last.sum())
+        if n and len(s := shared(pd.concat(held, ignore_index=True))):
+            yield solve(s)
+
+    return run
+
+
+def signature_join(signed: DataFrame, budget: Budget | FixedBudget) -> DataFrame:
+    """``(a, b)``, a < b: distinct pairs of keys that share a signature and whose fingerprints
+    are within the budget. ``signed``: :data:`SIGNED`, of 128 bits; rows with ``probe`` = 1
+    needn't meet each other. The signature is the top of the trie, on which two rows must
+    agree. A signature of more than TILE rows is cut into chunks, and each pair of chunks is a
+    task of its own, so no group is ever held whole and no pair is left out."""
+    # Only signatures too large for a tile are listed; most runs have few or none.
+    hot = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    hot = materialize(hot.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")), "hot")
+    keep = ["key", "size", "probe", "p0", "p1"]
+    if hot.isEmpty():
+        tiled = signed.select(F.col("sig").alias("tile"), F.lit(0).alias("chunk"), F.lit(False).alias("cross"), *keep)
+    else:
+        t = signed.join(hot, "sig", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        t = t.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        lo, hi = F.least("chunk", "other"), F.greatest("chunk", "other")
+        tile = F.when(F.col("chunks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", lo, hi))
+        tiled = t.select(tile.alias("tile"), "chunk", (lo != hi).alias("cross"), *keep)
+    tiled = tiled.repartition("tile").sortWithinPartitions("tile")
+    return tiled.mapInPandas(_join_tiles(budget), "a bigint, b bigint").distinct()
