@@ -1,8 +1,8 @@
-"""All queries of the core."""
+"""All queries of the core; importing the modules registers them."""
 
 from __future__ import annotations
 
-from tidewater.plans import registry
+from tidewater.plans import documents, registry, results, speech, training  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
