@@ -39,6 +39,9 @@ GUARD_PREFIXES = (
     "The cleaned transcript is:", "Cleaned transcript:", "The cleaned text is:", "Cleaned text:", "The corrected text is:", "Corrected text:",
 )
 GUARD_SUFFIXES = ("END QUOTED TEXT", "EDIT:", "</dictation>", "</transcript_data>")
+# What the guard of a device strips.
+RUNTIME_PREFIXES = ("Cleaned transcript:", "Cleaned text:", "Output:")
+RUNTIME_SUFFIXES = ("<|im_end|>", "<|endoftext|>", "<|eot_id|>")
 GUARD_LEFT = "\"'“”([{,;!?"
 GUARD_RIGHT = "\"'“”)]},;!?."
 NUMBERS = {

@@ -17,6 +17,11 @@ def col(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_blank(c: C) -> Column:
+    """Null or nothing but white space of any kind."""
+    return ~F.coalesce(col(c).rlike(r"[^\s\p{Z}]"), F.lit(False))
+
+
 def lexical_tokens(c: C) -> Column:
     """Lower-cased words, as written."""
     return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(L.WORD_JVM), F.lit(0)), F.lower)
@@ -72,8 +77,8 @@ def edit_similarity(a: C, b: C, threshold: float) -> Column:
     longest = F.greatest(F.char_length(a), F.char_length(b))
     most = F.floor((1 - threshold) * longest + 1e-9).cast("int")
     gap = F.abs(F.char_length(a) - F.char_length(b))
-    d = F.levenshtein(a, b)
-    return F.when(longest == 0, F.lit(1.0)).when(gap > most, F.lit(0.0)).otherwise(F.when(d <= most, 1 - d / longest).otherwise(F.lit(0.0)))
+    d = F.call_function("levenshtein", a, b, most)  # -1 beyond the limit; only a band is computed
+    return F.when(longest == 0, F.lit(1.0)).when(gap > most, F.lit(0.0)).otherwise(F.when(d >= 0, 1 - d / longest).otherwise(F.lit(0.0)))
 
 
 def masked_entities(c: C, pattern: str = L.ENTITY_MIXTURE) -> Column:
@@ -133,12 +138,22 @@ def as_sentence(c: C) -> Column:
     return F.when(s.rlike(r"[.!?]$") | (s == ""), s).otherwise(F.concat(s, F.lit(".")))
 
 
+# Marks that take no blank behind them, and marks that take none before them.
+OPENING, CLOSING = "([{<“‘\"", ".,!?;:%)]}>”’'\""
+
+
 def spaced_insert(before: C, text: C, after: C) -> Column:
-    """``text`` with a blank where it would touch a word or closing mark of its surroundings."""
-    b, t, a = col(before), col(text), col(after)
-    left = F.when(b.rlike(r"[\p{L}\p{N}.,!?;:)\]]$") & t.rlike(r"^[\p{L}\p{N}(\[]"), F.lit(" ")).otherwise(F.lit(""))
-    right = F.when(a.rlike(r"^[\p{L}\p{N}(\[]") & t.rlike(r"[\p{L}\p{N}.,!?;:)\]]$"), F.lit(" ")).otherwise(F.lit(""))
-    return F.concat(left, t, right)
+    """``text`` with a blank where it would touch its surroundings: on each side where both
+    neighbours are there and neither is white space, the left one opens nothing and the right
+    one closes nothing."""
+    b, t, a = (F.coalesce(col(c), F.lit("")) for c in (before, text, after))
+
+    def gap(left: Column, right: Column) -> Column:
+        x, y = F.right(left, F.lit(1)), F.substring(right, 1, 1)
+        fine = (x != "") & (y != "") & ~x.rlike(r"\s") & ~y.rlike(r"\s") & ~F.contains(F.lit(OPENING), x) & ~F.contains(F.lit(CLOSING), y)
+        return F.when(fine, F.lit(" ")).otherwise(F.lit(""))
+
+    return F.when(t == "", t).otherwise(F.concat(gap(b, t), t, gap(t, a)))
 
 
 def has_adjacent_repeat(tokens: C) -> Column:

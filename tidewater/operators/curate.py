@@ -35,7 +35,7 @@ def first_match(rules: Sequence[tuple[Column, Column | str]], otherwise: Column
 def pair_of(candidates: Sequence[tuple[str, str]], columns: Sequence[str]) -> tuple[Column, Column]:
     """Of several possible pairs of columns the first with two non-blank texts."""
     there = [(a, b) for a, b in candidates if a in columns and b in columns]
-    full = [(F.trim(F.col(a)) != "") & (F.trim(F.col(b)) != "") for a, b in there]
+    full = [~T.is_blank(a) & ~T.is_blank(b) for a, b in there]
     if not there:
         return F.lit(None).cast("string"), F.lit(None).cast("string")
     return first_match([(f, F.col(a)) for f, (a, _) in zip(full, there)]), first_match([(f, F.col(b)) for f, (_, b) in zip(full, there)])
@@ -230,7 +230,7 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def blank(c: str) -> Column:
-    return F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    return T.is_blank(c)
 
 
 def case_rules() -> dict[str, Column]:

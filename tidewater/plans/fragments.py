@@ -23,6 +23,10 @@ def tidy(c: str) -> str:
     return rf"regexp_replace(replace({c}, chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g')"
 
 
+def blank(c: str) -> str:
+    return rf"NOT coalesce(regexp_matches({c}, '[^\s\p{{Z}}]'), false)"
+
+
 def hash64(c: str) -> str:
     return f"CAST('0x' || substr(sha256({c}), 1, 16) AS UBIGINT)"
 

@@ -117,12 +117,12 @@ def eval_guard(*t: DataFrame) -> DataFrame:
     *_R,
     sql=f"""
 WITH {S.PAIRS.strip()}
-SELECT model_name, CASE WHEN trim(coalesce(model_text, '')) = '' THEN 'Model returned empty text' WHEN hit_output_token_limit THEN 'Model reached the output token limit'
+SELECT model_name, CASE WHEN {S.blank('model_text')} THEN 'Model returned empty text' WHEN hit_output_token_limit THEN 'Model reached the output token limit'
   ELSE 'accepted' END AS reason, count(*) AS n FROM pairs GROUP BY ALL""",
 )
 def eval_runtime_guard(*t: DataFrame) -> DataFrame:
     """The guard a device runs: blank or capped."""
-    why = F.when(F.trim(F.coalesce("model_text", F.lit(""))) == "", "Model returned empty text").when(F.col("hit_output_token_limit"), "Model reached the output token limit").otherwise("accepted")
+    why = F.when(T.is_blank("model_text"), "Model returned empty text").when(F.col("hit_output_token_limit"), "Model reached the output token limit").otherwise("accepted")
     return _pairs(*t).groupBy("model_name", why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -34,7 +34,7 @@ def train_shares(train: DataFrame) -> DataFrame:
 @query(
     "train_sotto_lfm",
     sql=f"""
-SELECT {_CORPUS} AS corpus, count(*) AS n, count_if(trim(coalesce(raw, '')) = '' OR trim(coalesce(expected, '')) = '') AS unusable,
+SELECT {_CORPUS} AS corpus, count(*) AS n, count_if({S.blank('raw')} OR {S.blank('expected')}) AS unusable,
   count_if(raw = expected) AS unchanged FROM train_sotto_lfm GROUP BY 1""",
 )
 def train_accounting(train: DataFrame) -> DataFrame:
@@ -126,10 +126,10 @@ def case_duplicate_ids(cases: DataFrame) -> DataFrame:
 
 @query(
     "cleanup_cases",
-    sql="""
+    sql=f"""
 WITH c AS (SELECT *, coalesce(must_preserve, []) AS keep, coalesce(must_remove, []) AS gone FROM cleanup_cases),
-v AS (SELECT id, unnest(list_filter([CASE WHEN trim(coalesce(id, '')) = '' THEN 'blank_id' END, CASE WHEN trim(coalesce(raw, '')) = '' THEN 'blank_raw' END,
-  CASE WHEN trim(coalesce(expected, '')) = '' THEN 'blank_expected' END, CASE WHEN coalesce(len(categories), 0) = 0 THEN 'no_category' END,
+v AS (SELECT id, unnest(list_filter([CASE WHEN {S.blank('id')} THEN 'blank_id' END, CASE WHEN {S.blank('raw')} THEN 'blank_raw' END,
+  CASE WHEN {S.blank('expected')} THEN 'blank_expected' END, CASE WHEN coalesce(len(categories), 0) = 0 THEN 'no_category' END,
   CASE WHEN len(list_distinct(categories)) < len(categories) THEN 'repeated_category' END,
   CASE WHEN len(list_filter(keep, lambda a: NOT contains(expected, a))) > 0 THEN 'preserve_absent' END,
   CASE WHEN len(list_filter(gone, lambda a: NOT contains(raw, a))) > 0 THEN 'remove_absent' END,
