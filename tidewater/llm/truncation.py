@@ -65,8 +65,9 @@ def length_spikes(results: DataFrame, source: str = "run_source", text: str = "m
     )
     big = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all")) & (F.col("n") >= TIMES * F.col("before"))
     last = F.col("longer") <= F.greatest(F.lit(1.0), BEYOND * F.col("all"))
-    # Of the texts with a cut mark and those at the token limit all lengths count as the end.
-    return h.where(big & (last | F.col("measure").isin("chars_before_mark"))).select("source", "measure", "value", "n", F.col("before").alias("usual"))
+    # Of the texts with a cut mark all lengths count as the end; tokens below the limit don't.
+    met = (F.col("measure") != "tokens_over_limit") | (F.col("value") >= 0)
+    return h.where(big & met & (last | F.col("measure").isin("chars_before_mark"))).select("source", "measure", "value", "n", F.col("before").alias("usual"))
 
 
 def suspects(results: DataFrame, source: str = "run_source", text: str = "model_text") -> DataFrame:
