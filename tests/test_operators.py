@@ -256,3 +256,34 @@ def test_shares_and_shortfall(spark):
     have = d.groupBy("k").agg(F.count("*").alias("available"))
     assert {r.k: r.missing for r in curate.shortfall(have, t, "k").collect()} == {"b": 2, "z": 1}
     assert T.ratio is not None
+
+
+def test_shards(spark):
+    from tidewater.operators import shards
+
+    c = spark.createDataFrame([("zeta", 0), ("alpha", 1), ("middle", 2)], "case_id string, source_index int")
+    r = c.withColumns({"shard_index": T.shard_of("case_id", 3), "shard_count": F.lit(3), "evaluation_fingerprint": F.lit("f")})
+    assert [x.case_id for x in shards.merged(r, c, 3).collect()] == ["zeta", "alpha", "middle"]
+    for bad, why in ((r.union(r.limit(1)), "repeated"), (r.where("case_id <> 'zeta'"), "missing"), (r.withColumn("shard_count", F.lit(4)), "wrong_shard"), (r.withColumn("evaluation_fingerprint", F.col("case_id")), "several_settings")):
+        with pytest.raises(shards.ShardError, match=why):
+            shards.merged(bad, c, 3)
+    assert [x.case_id for x in shards.remaining(c, c.where("source_index < 1")).orderBy("source_index").collect()] == ["alpha", "middle"]
+    with pytest.raises(shards.ShardError):
+        shards.remaining(c, c.where("source_index = 1"))
+    assert shards.fingerprint({"a": 1, "b": 2}) == shards.fingerprint({"b": 2}, {"a": 1})
+    with pytest.raises(shards.ShardError):
+        shards.fingerprint({"a": 1}, {"a": 2})
+    import hashlib
+
+    assert shards.ordered_digest(c, "case_id", "source_index").first().digest == hashlib.sha256(b"zeta\nalpha\nmiddle\n").hexdigest()
+    one = spark.createDataFrame([("s", "p"), ("s", None)], "run_source string, prompt_variant string")
+    assert {x.run_label for x in shards.runs(one, "L").collect()} == {"L:p", "L:default"}
+
+
+def test_global_rank(spark):
+    rng = random.Random(2)
+    v = [rng.random() for _ in range(500)]
+    d = spark.createDataFrame([(x,) for x in v], "v double").repartition(7)
+    got = sorted((r["rank"], r.v) for r in prefix.global_rank(d, "v").collect())
+    assert got == list(enumerate(sorted(v)))
+    assert prefix.global_rank(d.where("v > 2"), "v").count() == 0

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructType
 
 from tidewater.functions import cleanup, guard, pytext
 
@@ -107,6 +108,28 @@ def without_hesitations(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "removed"])
 
 
+def _denormal(x) -> bool:
+    """Whether any text in a nested value isn't in NFC."""
+    if isinstance(x, str):
+        return not unicodedata.is_normalized("NFC", x)
+    if isinstance(x, dict):
+        return any(_denormal(k) or _denormal(v) for k, v in x.items())
+    return isinstance(x, list) and any(map(_denormal, x))
+
+
+@F.pandas_udf(BooleanType())
+def holds_denormal_text(s: pd.Series) -> pd.Series:
+    """Of JSON text; what isn't JSON is looked at as a text."""
+
+    def one(t: str) -> bool:
+        try:
+            return _denormal(json.loads(t))
+        except ValueError:
+            return _denormal(t)
+
+    return _each(one, s)
+
+
 class _Chunks:
     def eval(self, text, most, preferred=None):
         if text is None:
@@ -156,7 +179,7 @@ json_leaves = F.udtf(_Leaves, returnType=LEAF, useArrow=True)
 
 UDFS = {
     f.__name__: f
-    for f in (nfc, nfc_words, speech_words, name_anchors, protected_anchors, removal_anchors, lexical_additions, sequence_ratio, wer_counts, fallback_reason, sanitized, cleanup_text, without_hesitations)
+    for f in (nfc, nfc_words, speech_words, name_anchors, protected_anchors, removal_anchors, lexical_additions, sequence_ratio, wer_counts, fallback_reason, sanitized, cleanup_text, without_hesitations, holds_denormal_text)
 }
 UDTFS = {"chunk_transcript": chunk_transcript, "walk_json": walk_json, "json_leaves": json_leaves}
 

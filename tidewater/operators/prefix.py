@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import materialize
+
 
 UNIT_BITS = 52
 
@@ -58,3 +60,15 @@ def take_first(df: DataFrame, groups: Sequence[str], order: str, tie: str, quota
     return prefix_sums(df.withColumn("__one", F.lit(1).cast("bigint")), groups, order, tie, "__one", "__rank").where(F.col("__rank") < F.col(quota)).drop("__one", "__rank")
 
 
+def global_rank(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
+    """Adds the position of each row in the given order, from 0. Rows are range-partitioned and
+    sorted, numbered within their partition, and shifted by the counts of the partitions before:
+    one small row for each partition is all that is brought together. The order should be
+    total; otherwise tied rows get any of their places, but each only one."""
+    d = df.orderBy(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    d = materialize(d, "ranked")
+    n = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = n.select("__p", before.alias("__o"))
+    place = F.col("__m") - F.shiftleft(F.col("__p").cast("bigint"), 33) + F.col("__o")
+    return d.join(F.broadcast(at), "__p").withColumn(out, place).drop("__p", "__m", "__o")  # a row a partition

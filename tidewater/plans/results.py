@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.functions import udfs
+from tidewater.functions import tokens
 from tidewater.operators import evaluate as E
+from tidewater.operators import shards
+from tidewater.operators.prefix import global_rank
 from tidewater.plans import fragments as S
 from tidewater.plans.registry import query
 
@@ -200,3 +203,32 @@ def case_category_counts(cases: DataFrame) -> DataFrame:
     """Cases of each label as written; a case counts in each of its own."""
     c = cases.where("id IS NOT NULL").groupBy("id").agg(F.min("categories").alias("categories"))
     return c.select(F.explode(F.array_distinct("categories")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("cases"))
+
+
+@query(
+    "cleanup_cases",
+    sql="""
+WITH c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS source_index FROM (SELECT DISTINCT id FROM cleanup_cases WHERE id IS NOT NULL))
+SELECT id AS case_id, CAST(source_index AS INTEGER) AS source_index, CAST(CAST('0x' || substr(sha256(id), 1, 16) AS UBIGINT) % 3 AS INTEGER) AS shard_index FROM c""",
+)
+def case_shards_merged(cases: DataFrame) -> DataFrame:
+    """Cases dealt to three shards and merged again, with all checks."""
+    c = cases.where("id IS NOT NULL").select(F.col("id").alias("case_id")).distinct()
+    c = global_rank(c, "case_id", out="source_index").withColumn("source_index", F.col("source_index").cast("int"))
+    print_ = shards.fingerprint({"cases": "all"}, {"repeats": 1})
+    rows = c.withColumns({"shard_index": T.shard_of("case_id", 3), "shard_count": F.lit(3), "evaluation_fingerprint": F.lit(print_)})
+    return shards.merged(rows, c, 3).select("case_id", "source_index", "shard_index")
+
+
+@query("cleanup_cases")
+def case_token_caps(cases: DataFrame) -> DataFrame:
+    """Tokens of each input and the output cap that follows from them."""
+    c = shards.text_free(cases).where("id IS NOT NULL").groupBy("id").agg(F.min("raw").alias("raw"))
+    return c.select("id", F.size(tokens.token_ids("raw")).alias("tokens")).withColumn("cap", T.device_cap("tokens"))
+
+
+@query("cleanup_cases", sql="SELECT count(*) AS records, count_if(raw <> nfc_normalize(raw) OR expected <> nfc_normalize(expected)) AS denormal FROM cleanup_cases")
+def case_denormal_texts(cases: DataFrame) -> DataFrame:
+    """Records with a text that isn't in NFC."""
+    d = udfs.holds_denormal_text(F.to_json(F.struct("raw", "expected")))
+    return cases.agg(F.count(F.lit(1)).alias("records"), F.count_if(d).alias("denormal"))
