@@ -108,6 +108,8 @@ def test_a_dictated_refusal_is_content():
     e = "Unfortunately I cannot attend the meeting on Friday. Please tell Ana."
     assert pair_rules.defects("Unfortunately I cannot attend the meeting on Friday. Please tell Anna.", e, "um unfortunately I cannot attend the meeting on friday please tell Ana") == []
     assert pair_rules.defects("same words", "same words", "same words") == []
+    mixed = "The playlist isn't ready but the badge is. They wrote: “ich habe ihm gesagt dass der Schlüssel nach Hause muss und die Nummer nicht auf der Karte steht”."
+    assert pair_rules.defects("Das kostet nicht viel und am Freitag kommt der Koffer mit dem Beleg aus der Stadt.", mixed, "um " + mixed) == ["other_language"]
     assert pair_rules.unclosed("a (b") and not pair_rules.unclosed("a (b) “c”")
 
 

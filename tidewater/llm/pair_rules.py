@@ -39,6 +39,7 @@ LETTERS = {"de": "äöüß", "es": "ñáíóú¿¡", "fr": "êèàùâîôëçœ
 _REFUSAL = re.compile(rf"(?:^|[.!?\n:]\s*)\W*(?:{REFUSALS})(?!\w)", re.I)
 _LABEL_ONLY = re.compile(rf"^[\s\W]*(?:{LABELS})?[\s\W]*$", re.I)
 _SPLIT = re.compile(r"(?<=[a-zà-ÿ])['’]")
+_QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 _OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "<": ">"}
 _WEIGHT: dict[str, dict[str, float]] = {}
 for _lang, _ws in PROFILES.items():
@@ -88,6 +89,12 @@ def script(text: str) -> str | None:
     return max(seen, key=lambda k: (seen[k], k)) if seen else None
 
 
+def unquoted(text: str) -> str:
+    """A text without what it quotes, unless it is nothing but a quotation."""
+    t = _QUOTED.sub(" ", text)
+    return t if words(t) else text
+
+
 def unclosed(text: str) -> bool:
     """Whether a bracket or quotation mark that opens isn't closed."""
     need: list[str] = []
@@ -143,7 +150,8 @@ def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason
                 out.append("other_language")
             else:
                 lang, lead = language(body)
-                other, _ = language(wanted or "")
+                # A quotation may be in another language than the text that holds it.
+                other, _ = language(unquoted(wanted or ""))
                 if lang and lang != other and lead > 0 and follow(a, e)[0] > FOLLOWS:
                     out.append("other_language")
     return out
