@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import documents, registry, results, speech, training  # noqa: F401
+from tidewater.plans import documents, registry, results, speech, streams, training  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

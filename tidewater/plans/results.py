@@ -129,7 +129,19 @@ def eval_runtime_guard(*t: DataFrame) -> DataFrame:
     return _pairs(*t).groupBy("model_name", why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(*_R)
+_HAY = f"(' ' || {S.normalized('model_text')} || ' ')"
+
+
+@query(
+    *_R,
+    sql=f"""
+WITH {S.PAIRS.strip()},
+t AS (SELECT prompt_variant, {_HAY} AS a, coalesce(must_preserve, []) AS keep, coalesce(must_remove, []) AS gone, list_contains(categories, 'no_op') AS still, model_text, expected FROM pairs)
+SELECT prompt_variant, count(*) AS cases, count_if(len(list_filter(keep, lambda x: NOT contains(substr(a, 2, length(a) - 2), {S.normalized('x')}))) = 0) AS preserved,
+  count_if(len(list_filter(gone, lambda x: contains(a, ' ' || {S.normalized('x')} || ' '))) = 0) AS removed, count(*) FILTER (WHERE still) AS no_op_cases,
+  count(*) FILTER (WHERE still AND model_text = expected) AS no_op_kept
+FROM t GROUP BY prompt_variant""",
+)
 def eval_removals(*t: DataFrame) -> DataFrame:
     """Kept and removed literals, and no-ops, for each prompt."""
     return E.removal_scores(_pairs(*t), ["prompt_variant"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -58,7 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
     if key not in _written:
         _written[key] = []
     if not hasattr(shared_dir, "own"):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="tidewater-shared-")
+        own = tempfile.mkdtemp(prefix="tidewater-shared-")
+        atexit.register(shutil.rmtree, own, True)
+        shared_dir.own = "file://" + own
     return shared_dir.own
 
 
