@@ -186,8 +186,9 @@ def near_pairs(records: DataFrame, id_col: str = "id", text_cols: tuple[str, ...
     pairs = pairs.union(twins)
     x = member.select(F.col("key").alias("a"), F.col("id").alias("x"))
     y = member.select(F.col("key").alias("b"), F.col("id").alias("y"))
-    out = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    # An id that came with two texts isn't its own partner.
+    out = pairs.join(x, "a").join(y, "b").where("x <> y AND (a <> b OR x < y)")
+    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_groups(records: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("raw", "expected"), min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
