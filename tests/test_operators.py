@@ -1,5 +1,6 @@
 import random
 
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,44 @@ def test_near_groups(spark):
     assert [(r.a, r.b) for r in only_edit] == [(1, 2)] and only_edit[0].edit >= 0.9
 
 
+def test_near_pairs_of_a_large_family_equal_brute_force(spark):
+    """300 near copies of one text, each given twice with a small edit, and short texts."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    shared = [word() for _ in range(90)]
+    texts = []
+    for _ in range(150):
+        own = shared[:45] + [word() for _ in range(6)] + shared[45:]
+        texts += [" ".join(own), " ".join(own[:-1] + [own[-1] + "x"])]
+    texts += ["abcdefghi", "abcdefghij", "abcdefgxij", "abcd", "abce"] + [" ".join(word() for _ in range(n)) for n in range(1, 40)]
+    many = dedup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").select("a", "b").collect()
+    got = {(r.a, r.b) for r in many}
+    assert len(many) == len(got)
+
+    def grams(x, n):
+        return {tuple(x[i : i + n]) for i in range(max(1, len(x) - n + 1))}
+
+    sets = [(grams(x.split(), 3), grams(x, 5)) for x in texts]
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i] + [0] * len(y)
+            for j, e in enumerate(y, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != e))
+        return row[-1]
+
+    want = set()
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            near = any(len(p & q) >= 0.8 * len(p | q) for p, q in zip(sets[i], sets[j]))
+            # Of the family, the grams decide; elsewhere short texts may be near by edits alone.
+            if near or (i >= 300 and edits(texts[i], texts[j]) <= 0.1 * max(len(texts[i]), len(texts[j]))):
+                want.add((i, j))
+    assert len(want) > 40_000 and want <= got
+    assert {p for p in got if p[0] >= 300} == {p for p in want if p[0] >= 300}
+
+
 @pytest.mark.parametrize("indexed", [10, 0])
 def test_contamination(spark, indexed):
     frozen = dedup.frozen_surfaces(spark.createDataFrame([("h1", "Meet Ana at 10:30 near the bridge", None), ("h2", "the quick brown fox jumps over the lazy dog today", "")], "id string, raw string, expected string"))

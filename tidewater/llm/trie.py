@@ -146,9 +146,10 @@ def _join_tiles(budget: Budget | FixedBudget):
             a.append(i[want])
             b.append(j[want])
         x, y = trie.join(np.concatenate(a), np.concatenate(b), budget)
-        kx, ky = keys[x], keys[y]
-        got = np.unique(np.stack((np.minimum(kx, ky), np.maximum(kx, ky)), 1), axis=0)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+        named, code = np.unique(keys, return_inverse=True)
+        kx, ky = code[x], code[y]
+        got = np.unique(np.minimum(kx, ky) * len(named) + np.maximum(kx, ky))
+        return pd.DataFrame({"a": named[got // len(named)], "b": named[got % len(named)]})
 
     def shared(t: pd.DataFrame) -> pd.DataFrame:
         """Without the tiles of one row."""
