@@ -122,6 +122,15 @@ def test_pairs_on_odd_rows(spark):
     assert pairs.first_defects(long, c).count() == 0
 
 
+def test_every_triggered_defect_is_reported(spark):
+    german = "Die alte Brücke ist noch nicht fertig und der Schlüssel liegt im Büro bei der Post."
+    c = cases(spark, [("g", "ähm " + german, german), ("q", "um bring it (the red one)", "Bring it (the red one).")])
+    r = results(spark, [(1, "g", "s", "I'm sorry, but I can't help you with that request.", 1, 9), (2, "q", "s", "Bring it (the red one.", 1, 9), (3, "q", "s", "Bring it (the red one).", 1, 9)])
+    assert {x.result_id: x.defects for x in pairs.defective_pairs(r, c).collect()} == {1: ["refusal", "other_language"], 2: ["unclosed"]}
+    assert rows(pairs.first_defects(r, c)) == [(1, "refusal")]
+    assert {(x.defect, x.results) for x in pairs.defect_report(r, c).collect()} == {("refusal", 1), ("other_language", 1), ("unclosed", 1)}
+
+
 # ---- 2 --------------------------------------------------------------------------------------
 
 

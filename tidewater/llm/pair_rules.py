@@ -124,8 +124,9 @@ def refuses(text: str, wanted: list[str], raw: list[str]) -> bool:
     return True
 
 
-def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason: str | None = None, check_end: bool = True) -> list[str]:
-    """Every defect triggered, in the order of the rules. ``check_end``: whether the end is
+def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason: str | None = None, check_end: bool = True, every: bool = False) -> list[str]:
+    """The defects triggered, in the order of the rules; the language is looked at only where
+    nothing else was found, unless ``every`` defect is wanted. ``check_end``: whether the end is
     looked at; the caller leaves it out where the end is known to be well. An unknown case
     (nothing wanted, no raw text) can only be empty or refusing."""
     if stand_in(text):
@@ -143,7 +144,7 @@ def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason
         out.append("refusal")
     if r and e != r and within(r, a) and len(a) >= len(r):
         out.append("copied")
-    if e and not out:
+    if e and (every or not out):
         known = set(e)
         if sum(w in known for w in a) <= SHARED * len(a):
             if script(body) != script(wanted or ""):

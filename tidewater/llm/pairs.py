@@ -15,7 +15,9 @@ from tidewater.llm import pair_rules as rules
 from tidewater.llm.truncation import LOOKED_AT, known_cases, suspects
 from tidewater.operators.skew import salted_join
 
-PAIR = "result_id bigint, run_source string, defects array<string>, unclosed boolean"
+PAIR = "result_id bigint, run_source string, defects array<string>"
+#: Comes last of the defects, and is none for :func:`first_defects`.
+UNCLOSED = "unclosed"
 
 
 def _squeezed(c: str) -> F.Column:
@@ -23,44 +25,47 @@ def _squeezed(c: str) -> F.Column:
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[tuple, tuple[list[str], bool]] = {}
+    known: dict[tuple, list[str]] = {}
     for b in batches:
         out = []
-        for key in zip(b["model_text"], b["expected"], b["raw"], b["suspect"]):
+        for key in zip(b["model_text"], b["expected"], b["raw"], b["suspect"], b["same"]):
             if key not in known:
                 if len(known) > 20_000:
                     known.clear()
-                text, expected, raw, suspect = key
-                found = rules.defects(text, expected, raw, check_end=bool(suspect))
-                known[key] = (found, text is not None and rules.unclosed(text) and not rules.unclosed(expected or ""))
+                text, expected, raw, suspect, same = key
+                found = [] if same else rules.defects(text, expected, raw, check_end=bool(suspect), every=True)
+                if text is not None and rules.unclosed(text) and not rules.unclosed(expected or ""):
+                    found = [*found, UNCLOSED]
+                known[key] = found
             out.append(known[key])
         yield pd.DataFrame(
             {
                 "result_id": b["result_id"],
                 "run_source": b["run_source"],
-                "defects": [x for x, _ in out],
-                "unclosed": [x for _, x in out],
+                "defects": out,
             }
         )
 
 
 def defective_pairs(results: DataFrame, *cases: DataFrame) -> DataFrame:
-    """``(result_id, run_source, defects, unclosed)`` for each result with a defect, in the
-    order of the rules; ``unclosed`` tells of a bracket or quotation mark that stays open though
-    the case closes it. Results of unknown cases can be empty or refusals only; re-delivered
+    """``(result_id, run_source, defects)`` for each result with a defect, in the order of the
+    rules; the last, ``unclosed``, tells of a bracket or quotation mark that stays open though the
+    case leaves none open. Results of unknown cases can be empty, refusals or unclosed only; re-delivered
     results count once; an answer with the words of the case is well."""
     s = suspects(results.where("result_id IS NOT NULL").select(*LOOKED_AT)).select("result_id", "case_id", "run_source", "model_text", "suspect")
     j = salted_join(s, known_cases(*cases), "case_id", "result_id", "left")
-    # An answer with the letters and digits of the wanted text needs no further look.
+    # An answer with the letters and digits of the wanted text can only leave a bracket open.
     same = (_squeezed("model_text") == _squeezed("expected")) & (_squeezed("model_text") != "")
-    odd = j.where(~F.coalesce(same, F.lit(False)))
-    d = odd.select("result_id", "run_source", "model_text", "expected", "raw", "suspect").mapInPandas(_judge, PAIR)
+    j = j.withColumn("same", F.coalesce(same, F.lit(False)))
+    odd = j.where(~F.col("same") | F.col("model_text").rlike(r"[(\[{“«„]"))
+    d = odd.select("result_id", "run_source", "model_text", "expected", "raw", "suspect", "same").mapInPandas(_judge, PAIR)
     return d.where(F.size("defects") > 0).dropDuplicates(["result_id"])
 
 
 def first_defects(results: DataFrame, *cases: DataFrame) -> DataFrame:
     """``(result_id, defect)``: the first defect of each defective result."""
-    return defective_pairs(results, *cases).select("result_id", F.col("defects")[0].alias("defect"))
+    d = defective_pairs(results, *cases).select("result_id", F.col("defects")[0].alias("defect"))
+    return d.where(F.col("defect") != UNCLOSED)
 
 
 def defect_report(results: DataFrame, *cases: DataFrame) -> DataFrame:
