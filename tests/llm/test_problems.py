@@ -479,3 +479,17 @@ def test_simhash_recall_of_near_duplicates(spark):
             pairs_.add((min(ka, kb), max(ka, kb)))
     got = set(rows(residue.near_texts(read)))
     assert got <= pairs_ and len(got) >= 0.95 * len(pairs_) > 100
+
+
+def test_no_near_duplicate_of_short_texts_is_missed(spark):
+    """Texts of 8 and 9 words share 4 of 5 shingles."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(0, 400, 2):
+        w = [f"t{rng.randint(0, 5000)}" for _ in range(9)]
+        texts += [(i, " ".join(w)), (i + 1, " ".join(w[:8]))]
+    read = residue._read_all(docs(spark, texts))
+    keys = {r.doc_id: r.key for r in read.collect()}
+    want = {(min(keys[i], keys[i + 1]), max(keys[i], keys[i + 1])) for i in range(0, 400, 2)}
+    got = set(rows(residue.near_texts(read)))
+    assert len(want - got) == 0 and got == want
