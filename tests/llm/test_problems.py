@@ -415,81 +415,106 @@ def test_mixtures(spark):
 # ---- 9 --------------------------------------------------------------------------------------
 
 
+def own_kind(text):
+    """The kind that a text's trusted passages alone would give it."""
+    ps = residue_rules.passages(text)
+    if any(p.canon.startswith(residue_rules.VARIABLE) and p.kind for p in ps):
+        return "placeholder"
+    kinds = {p.kind for p in ps if p.kind}
+    return min(kinds) if kinds else None
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("Dear {{first_name}}, your parcel waits at the depot.", "placeholder"), ("Prepared for [DUE DATE] by Ana.", "placeholder"), ("Prepared for __RECIPIENT__.", "placeholder"),
-        ("This note belongs to <INSERT NAME> here.", "placeholder"), ("Hola %reviewer%, ya está.", "placeholder"), ("Bonjour ${name}, le colis est là.", "placeholder"),
+        ("Dear {{first_name}}, your parcel waits at the depot.", "placeholder"), ("Bonjour ${name}, le colis est là.", "placeholder"), ("The cleanup of %(reviewer)s finished.", "placeholder"),
         ("In the style guide, ${HOME} stands for the home folder.", None), ("The preview showed `{{speaker}}` in the documentation.", None),
         ('The config is {"lang": "en", "beam": {num}} on the handset.', None), ("The regex [a-z]{2,5} matched 3 rows.", None), ("We took list[0] and 5% off.", None),
         ("Lorem ipsum dolor sit amet consectetur.", "filler"), ("A heading\nblah blah blah blah", "filler"), ("test test test test", "filler"), ("TBD TBD TBD", "filler"),
         ("We discussed whether lorem ipsum is a fair sample for speech tests.", None),
         ("404 - page not found. The address does not exist.", "error_page"), ("Home | Help\nError 503: unavailable.", "error_page"), ("Die angeforderte Seite wurde nicht gefunden.", "error_page"),
         ("The tester saw a 404 on the portal yesterday and reported it to Ana.", None), ("A session expires after 5 minutes, which annoyed Ana.", None),
-        ("Please enable JavaScript to use the viewer.", "script_notice"), ("Bitte aktivieren Sie JavaScript, um fortzufahren.", "script_notice"),
+        ("Error 500 was the highlight of a novel called so by critics.", None), ("404 not found was all that Ana said.", None),
+        ("Please enable JavaScript to view this page.", "script_notice"), ("Bitte aktivieren Sie JavaScript, um fortzufahren.", "script_notice"),
+        ("This course requires JavaScript and a good deal of patience.", None),
         ("Support told Ana to enable JavaScript, and afterwards the page worked.", None), ("Word errors fell when Ana read the needle script slowly.", None),
         (None, None), ("", None), (" \n", None), ("A plain note about tea.", None),
     ],
 )
-def test_residue_rules(text, want):
-    assert residue_rules.label(text) == want
-
-
-def test_labels_pass_to_near_duplicates(spark, monkeypatch):
-    body = " ".join(f"loremish{i} and" for i in range(30))
-    # A text of dummy lines that the rules know, and near copies in which they don't.
-    known = "Placeholder copy, final wording to follow. " + " ".join(f"w{i}" for i in range(12))
-    rng = random.Random(6)
-    long = [f"tok{rng.randint(0, 500)}" for _ in range(150)]
-    seed = "lorem ipsum dolor sit amet. " * 6 + " ".join(long[:30])
-    near = seed.replace("lorem ipsum dolor sit amet. ", "lorem ipsum dolor sit amet. ", 1) + " extra"
-    monkeypatch.setattr(residue_rules, "FILLER_SHARE", 0.1)
-    d = docs(spark, [(1, known), (2, known), (3, seed), (4, near), (5, body), (6, None), (7, ""), (8, "Dear {{name}}, " + " ".join(long)), (9, "Dear Ana, " + " ".join(long)), (10, "x " * 50_000)])
-    got = {r.doc_id: (r.kind, r.source_of_label) for r in residue.residue(d).collect()}
-    assert got[1] == got[2] == ("filler", "own") and got[3] == ("filler", "own") and got[8] == ("placeholder", "own")
-    assert 9 not in got and 5 not in got
-    assert {r.doc_id for r in residue.without_residue(d).collect()} >= {5, 6, 7, 9}
+def test_trusted_passages(text, want):
+    assert own_kind(text) == want
+
+
+def residue_of(spark, texts):
+    return {r.doc_id: (r.kind, r.source_of_label) for r in residue.residue(docs(spark, texts)).collect()}
+
+
+def test_labels_pass_through_components(spark):
+    """Wordings the rules don't know get the label of the trusted one they are near to, or near
+    to a near one; what only tells of such strings doesn't."""
+    got = residue_of(
+        spark,
+        [
+            (1, "Please enable JavaScript to view this page."), (2, "Please enable JavaScript to view this viewer."), (3, "Please enable scripting to view this viewer."), (4, "Ana told us to please enable JavaScript to view this page."),
+            (5, "This course requires JavaScript and a good deal of patience."), (6, "Error 500 was the highlight of a novel called so by critics."), (7, None), (8, ""),
+            (9, "You don't have permission to view this recording."), (10, "Dear {{first name}}, the tea is cold."), (11, "Dear [FIRST NAME], the tea is cold."), (12, "Dear [INAUDIBLE], the tea is cold."), (13, "HTTP 404 Not Found"),
+        ],
+    )
+    assert got == {
+        1: ("script_notice", "own"), 2: ("script_notice", "group"), 3: ("script_notice", "group"), 9: ("error_page", "group"),
+        10: ("placeholder", "own"), 11: ("placeholder", "group"), 13: ("error_page", "own"),
+    }
+
+
+def test_companions_of_messages(spark):
+    beside = "Nothing came back from the shelf."
+    texts = [(i, f"HTTP 50{i} Server Error\n{beside}") for i in range(4)] + [(9, beside + " The ladder is blue. The lamp stands near the river."), (10, "Try the second door.\nHTTP 404 Not Found")]
+    assert set(residue_of(spark, texts[:4])) == {0, 1, 2, 3}
+    # Where it stands in other documents too, it is no companion and the rest decides.
+    assert set(residue_of(spark, texts)) == set()
+
+
+def test_length_makes_no_difference(spark):
+    """A message is one whether it is said once or a thousand times; ordinary text around it
+    decides by its share."""
+    note = "The blue ladder stands near the old barn and nobody knows why. "
+    got = residue_of(spark, [(1, "404 Not Found\n" * 2000), (2, "404 Not Found\n" + note * 3), (3, "Lorem ipsum dolor sit amet.\n" + note * 2000), (4, "x " * 100_000 + "{{name}}"), (5, "404 Not Found\n")])
+    assert got == {1: ("error_page", "own"), 4: ("placeholder", "own"), 5: ("error_page", "own")}
+
+
+def test_residue_of_odd_tables(spark):
+    d = docs(spark, [(1, "TBD TBD TBD"), (1, "TBD TBD TBD"), (None, "TBD TBD TBD"), (2, None), (3, "fine words here")])
+    assert rows(residue.residue_kinds(d)) == [(1, "filler")]
+    assert {r.doc_id for r in residue.without_residue(d).collect()} == {None, 2, 3}
     assert residue.residue(d.where("1=0")).count() == 0
 
 
-def test_group_labels(spark):
-    """A text the rules don't know gets the label of its near copy, unless it tells of such."""
-    rng = random.Random(8)
-    w = [f"v{rng.randint(0, 300)}" for _ in range(120)]
-    d = docs(spark, [(1, "seed " + " ".join(w)), (2, "other " + " ".join(w)), (3, "other " + " ".join(w[:60])), (4, "other " + " ".join(w) + " yesterday"), (5, " ".join(w) + " filled")])
-    read = residue._read_all(d)
-    read = read.withColumn("kind", F.when(F.col("doc_id") == 1, "error_page").when(F.col("doc_id") == 5, "placeholder")).withColumn("key", F.col("doc_id"))
-    got = {r.doc_id: (r.kind, r.source_of_label) for r in residue.spread(read).collect()}
-    assert got == {1: ("error_page", "own"), 2: ("error_page", "group"), 5: ("placeholder", "own")}
+def test_levels_in_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, f"Please enable JavaScript to view this {rng.choice(['page', 'note', 'viewer', 'letter', 'record'])} {w}.") for i, w in enumerate(["now", "here", "again", "today", "first"] * 8)]
+    a = residue_of(spark, texts)
+    monkeypatch.setattr(residue, "BLOCK", 3)
+    assert residue_of(spark, texts) == a and len(a) == len(texts)
 
 
-def test_simhash_recall_of_near_duplicates(spark):
+def test_near_passages_meet(spark):
+    """Pairs at the threshold and above meet in the tables; those found are checked exactly."""
     rng = random.Random(11)
-    texts, pairs_ = [], set()
-    for i in range(0, 300, 2):
-        w = [f"t{rng.randint(0, 5000)}" for _ in range(80)]
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    a, b, met, all_ = [], [], 0, 0
+    for _ in range(300):
+        w = [word() for _ in range(8)]
         v = list(w)
-        v[rng.randrange(80)] = "edit"
-        texts += [(i, " ".join(w)), (i + 1, " ".join(v))]
-    read = residue._read_all(docs(spark, texts))
-    sh = {r.doc_id: (r.key, set(r.shingles)) for r in read.collect()}
-    for a in range(0, 300, 2):
-        (ka, x), (kb, y) = sh[a], sh[a + 1]
-        if 5 * len(x & y) >= 4 * len(x | y):
-            pairs_.add((min(ka, kb), max(ka, kb)))
-    got = set(rows(residue.near_texts(read)))
-    assert got <= pairs_ and len(got) >= 0.95 * len(pairs_) > 100
-
-
-def test_no_near_duplicate_of_short_texts_is_missed(spark):
-    """Texts of 8 and 9 words share 4 of 5 shingles."""
-    rng = random.Random(12)
-    texts = []
-    for i in range(0, 400, 2):
-        w = [f"t{rng.randint(0, 5000)}" for _ in range(9)]
-        texts += [(i, " ".join(w)), (i + 1, " ".join(w[:8]))]
-    read = residue._read_all(docs(spark, texts))
-    keys = {r.doc_id: r.key for r in read.collect()}
-    want = {(min(keys[i], keys[i + 1]), max(keys[i], keys[i + 1])) for i in range(0, 400, 2)}
-    got = set(rows(residue.near_texts(read)))
-    assert len(want - got) == 0 and got == want
+        for i in rng.sample(range(8), rng.randint(1, 3)):
+            v[i] = word()
+        a.append(" ".join(w))
+        b.append(" ".join(v))
+    x, y = residue.fingerprints(a), residue.fingerprints(b)
+    found = set(zip(*[z.tolist() for z in residue.meet(x, y)]))
+    for i in range(300):
+        p, q = (set(residue.grams([t])[1].tolist()) for t in (a[i], b[i]))
+        if 2 * len(p & q) >= len(p | q):
+            all_ += 1
+            met += (i, i) in found
+    assert all_ > 150 and met >= 0.93 * all_ and len(found) < 3000
+    assert len(residue.fingerprints([])) == 0 and residue.fingerprints(["", "x"]).shape == (2, 2)

@@ -55,5 +55,6 @@ QUERIES: dict[str, Query] = {
     "p8_mix": _q(mixing.mix, "documents", "mix_targets"),
     "p8_report": _q(mixing.mix_report, "documents", "mix_targets"),
     "p9_found": _q(residue.residue_kinds, "documents"),
+    "p9_sources": _q(residue.residue_sources, "documents"),
     "p9_clean": _q(lambda d: residue.without_residue(d).select("doc_id"), "documents"),
 }
