@@ -4,9 +4,9 @@ A record is the set of its distinct words. Its fingerprint has one parity bit pe
 class, so two fingerprints differ in at most as many bits as the sets in words, and a Jaccard
 threshold is a Hamming budget that loses no pair. The binary trie self-join runs on these
 fingerprints. As a trie over a whole collection would visit nearly all pairs of its upper
-nodes at budgets of this size, its first level is a signature that two similar sets must share:
-a rare word, or two frequent words, of their rarest words (prefix filter). Subtrees of one
-signature are joined on their own, and a hot signature is cut into tiles. Every surviving
+nodes at budgets of this size, its top is a word that two similar sets must share among their
+rarest words (prefix filter): as many signatures as a set has rarest words. Subtrees of one
+word are joined on their own, and the subtree of a hot word is cut into tiles. Every surviving
 pair is checked exactly. Equal sets are one class and are joined once."""
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ BITS = 128
 #: Word frequencies are counted in this many hashed classes; that bounds what is broadcast
 #: (8 bytes each). A class that holds a frequent word only makes signatures more specific.
 CLASSES = 1 << 18
-#: Words of classes seen more often than this sign only in pairs.
-RARE = 64
 MIN_WORDS, NUM, DEN = 8, 7, 10
 
 
@@ -92,24 +90,17 @@ def fingerprints(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.uint16)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def prefix_lengths(s: int, num: int, den: int) -> tuple[int, int]:
-    """Of a set of s words, how many of its rarest must be looked at to share two words with
-    any similar set: where that set is as large or larger, and where it is smaller."""
+    """Of a set of s words, how many of its rarest must be looked at to share a word with any
+    similar set: where that set is as large or larger, and where it is smaller."""
     least = lambda t: -(-num * (s + t) // (den + num))
-    return min(s, s - least(s) + 2), min(s, s - least(-(-num * s // den)) + 2)
+    return min(s, s - least(s) + 1), min(s, s - least(-(-num * s // den)) + 1)
 
 
 def _signatures(counts_ref, num: int, den: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = counts_ref.value
         lengths: dict[int, tuple[int, int]] = {}
-        pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             if not len(b):
                 continue
@@ -117,38 +108,27 @@ def _signatures(counts_ref, num: int, den: int):
             n = np.array([len(x) for x in sets], np.int64)
             row = np.repeat(np.arange(len(n)), n)
             flat = np.concatenate(sets).astype(np.int64)
-            prints = fingerprints(flat, row, len(n))
+            halves = fingerprints(flat, row, len(n)).view(np.int64)
             seen = counts[flat % len(counts)]
             order = np.lexsort((flat, seen, row))
             flat, seen = flat[order], seen[order]
-            start = np.cumsum(n) - n
-            rows, sigs, both = [], [], []
-            for r in range(len(n)):
-                s = int(n[r])
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            for s in np.unique(n).tolist():
                 if s not in lengths:
                     lengths[s] = prefix_lengths(s, num, den)
-                short, long = lengths[s]
-                at = start[r]
-                w, often = flat[at : at + long].view(np.uint64), seen[at : at + long] > RARE
-                k = int(long - often.sum())  # sorted by frequency: the rare words come first
-                if long - k not in pairs:
-                    pairs[long - k] = np.triu_indices(long - k, 1)
-                i, j = pairs[long - k]
-                sig = np.concatenate((w[:k], _mix(w[k:][i]) ^ (_mix(w[k:][j]) << np.uint64(1))))
-                last = np.concatenate((np.arange(k), k + j))
-                sigs.append(sig)
-                both.append(last < short)
-                rows.append(np.full(len(sig), r))
-            rows = np.concatenate(rows)
-            halves = prints.view(np.int64)
+            short, long = (np.array([lengths[s][k] for s in n.tolist()], np.int64)[row] for k in (0, 1))
+            # A word that one set alone has joins nothing.
+            keep = (pos < long) & (seen > 1)
+            at = row[keep]
             yield pd.DataFrame(
                 {
-                    "sig": np.concatenate(sigs).view(np.int64),
-                    "key": b["key"].to_numpy()[rows],
-                    "size": n[rows].astype(np.int32),
-                    "probe": (~np.concatenate(both)).astype(np.int8),
-                    "p0": halves[rows, 0],
-                    "p1": halves[rows, 1],
+                    "sig": flat[keep],
+                    "key": b["key"].to_numpy()[at],
+                    "size": n[at].astype(np.int32),
+                    # Two words that only larger sets look at needn't meet.
+                    "probe": (pos >= short)[keep].astype(np.int8),
+                    "p0": halves[at, 0],
+                    "p1": halves[at, 1],
                 }
             )
 

@@ -3,8 +3,9 @@
 The trie is held as sorted arrays: the nodes of a level are runs of equal fingerprint
 prefixes. Two nodes are traversed together: their children are paired, the differing bits of
 the new path pieces are added up, and a pair of nodes is dropped as soon as its bits exceed
-the budget of the best pair of rows below it. Paths are taken sixteen bits at a step, which
-visits the same surviving nodes as single bits do."""
+the budget of the best pair of rows below it. A level is four bits deep (two binary nodes have
+at most sixteen grandchildren's children), and the path below a node of one row is one edge,
+whose bits are compared at once, so a family of like rows costs little beside another."""
 
 from __future__ import annotations
 
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 
 from tidewater.session import materialize
 
-STEP = 16
+#: Bits of a level.
+STEP = 4
 #: Pairs of nodes or rows that are expanded at once.
 FRONTIER = 1 << 20
 #: Rows of a signature that one tile side may hold.
-TILE = 2048
+TILE = 4096
 SIGNED = "sig bigint, key bigint, size int, probe tinyint, p0 bigint, p1 bigint"
 
 
@@ -41,18 +43,6 @@ class Budget:
         return (hi_a * self.den >= lo_b * self.num) & (hi_b * self.den >= lo_a * self.num)
 
 
-class FixedBudget:
-    """The same number of bits for all pairs, whose sizes must fit num/den."""
-
-    def __init__(self, most: int, num: int, den: int):
-        self.most, self.num, self.den = most, num, den
-
-    def bits(self, total: np.ndarray) -> np.ndarray:
-        return np.full(len(total), self.most)
-
-    sizes_fit = Budget.sizes_fit
-
-
 def _cross(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each k all (i, j) with i < na[k], j < nb[k]: arrays of k, i, j."""
     n = na * nb
@@ -63,34 +53,56 @@ def _cross(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 class Trie:
     """``roots`` is a non-decreasing root number per row; rows of different roots share no
-    node. ``prints`` is (rows, pieces) of uint16, ``sizes`` the set size per row. Rows must be
-    sorted by (root, prints)."""
+    node. ``prints`` is (rows, 2) of uint64, ``sizes`` the set size per row. Rows must be sorted
+    by (root, prints). ``visited`` counts the pairs of nodes and of rows that were looked at."""
 
     def __init__(self, roots: np.ndarray, prints: np.ndarray, sizes: np.ndarray):
-        n, self.depth = prints.shape
-        self.prints, self.sizes = prints, sizes
+        n = len(prints)
+        self.prints, self.sizes, self.visited = prints, sizes, 0
         change = np.empty(n, bool)
         change[0] = True
         change[1:] = roots[1:] != roots[:-1]
-        self.starts = [np.flatnonzero(change)]
-        for d in range(self.depth):
-            change[1:] |= prints[1:, d] != prints[:-1, d]
+        self.starts, self.steps = [np.flatnonzero(change)], []
+        for d in range(prints.shape[1] * 64 // STEP):
+            if len(self.starts[-1]) == n:
+                break
+            piece = ((prints[:, d * STEP // 64] >> np.uint64(64 - STEP - d * STEP % 64)) & np.uint64((1 << STEP) - 1)).astype(np.uint8)
+            change[1:] |= piece[1:] != piece[:-1]
+            self.steps.append(piece)
             self.starts.append(np.flatnonzero(change))
+        self.depth = len(self.steps)
         self.lo = [np.minimum.reduceat(sizes, s) for s in self.starts]
         self.hi = [np.maximum.reduceat(sizes, s) for s in self.starts]
+        self.many = [np.diff(np.append(s, n)) for s in self.starts]
         # First child of each node, and one past the last, among the nodes of the next level.
-        self.child = [
-            np.append(np.searchsorted(b, a), len(b)) for a, b in zip(self.starts, self.starts[1:])
-        ]
+        self.child = [np.append(np.searchsorted(b, a), len(b)) for a, b in zip(self.starts, self.starts[1:])]
         self.row = np.append(self.starts[-1], n)
 
-    def join(self, a: np.ndarray, b: np.ndarray, budget: Budget | FixedBudget) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(self, x: np.ndarray, y: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the row pairs whose sizes fit and whose whole paths are within the budget."""
+        self.visited += len(x)
+        s, t = self.sizes[x], self.sizes[y]
+        k = np.flatnonzero((x != y) & budget.sizes_fit(s, s, t, t))
+        x, y = x[k], y[k]
+        bits = np.bitwise_count(self.prints[x] ^ self.prints[y]).sum(1, dtype=np.int64)
+        near = bits <= budget.bits(s[k] + t[k])
+        return x[near], y[near]
+
+    def join(self, a: np.ndarray, b: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:
         """Row pairs below the root pairs (a, b) within the budget. A root joined with itself
         gives each pair of rows once, and no row with itself."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        none = np.empty(0, np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
         stack = [(0, a, b, np.zeros(len(a), np.int32))]
         while stack:
             level, a, b, bits = stack.pop()
+            # Below two nodes of one row each there is one edge each.
+            one = (self.many[level][a] == 1) & (self.many[level][b] == 1)
+            if one.any():
+                out.append(self._rows(self.starts[level][a[one]], self.starts[level][b[one]], budget))
+                a, b, bits = a[~one], b[~one], bits[~one]
+            if not len(a):
+                continue
             child = self.child[level] if level < self.depth else self.row
             na, nb = child[a + 1] - child[a], child[b + 1] - child[b]
             total = np.cumsum(na * nb)
@@ -103,26 +115,22 @@ class Trie:
             ca, cb = child[a][k] + i, child[b][k] + j
             once = (a[k] != b[k]) | ((ca <= cb) if level < self.depth else (ca < cb))
             k, ca, cb = k[once], ca[once], cb[once]
-            if level == self.depth:  # rows
-                s, t = self.sizes[ca], self.sizes[cb]
-                good = (bits[k] <= budget.bits(s + t)) & budget.sizes_fit(s, s, t, t)
-                out.append((ca[good], cb[good]))
+            if level == self.depth:
+                out.append(self._rows(ca, cb, budget))
                 continue
+            self.visited += len(ca)
             at = self.starts[level + 1]
-            seen = bits[k] + np.bitwise_count(self.prints[at[ca], level] ^ self.prints[at[cb], level])
+            seen = bits[k] + np.bitwise_count(self.steps[level][at[ca]] ^ self.steps[level][at[cb]])
             lo, hi = self.lo[level + 1], self.hi[level + 1]
             good = (seen <= budget.bits(hi[ca] + hi[cb])) & budget.sizes_fit(lo[ca], hi[ca], lo[cb], hi[cb])
             if good.any():
                 stack.append((level + 1, ca[good], cb[good], seen[good].astype(np.int32)))
-        if not out:
-            none = np.empty(0, np.int64)
-            return none, none
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _join_tiles(budget: Budget | FixedBudget):
+def _join_tiles(budget: Budget):
     def solve(t: pd.DataFrame) -> pd.DataFrame:
-        prints = np.ascontiguousarray(t[["p0", "p1"]].to_numpy(np.int64)).view(np.uint16)
+        prints = np.ascontiguousarray(t[["p0", "p1"]].to_numpy(np.int64)).view(np.uint64)
         # A root per tile, chunk and role; the chunks of a tile are its smaller and larger one.
         tile, chunk, probe = (t[c].to_numpy() for c in ("tile", "chunk", "probe"))
         order = np.lexsort((*prints.T[::-1], probe, chunk, tile))
@@ -180,12 +188,13 @@ def _join_tiles(budget: Budget | FixedBudget):
     return run
 
 
-def signature_join(signed: DataFrame, budget: Budget | FixedBudget) -> DataFrame:
+def signature_join(signed: DataFrame, budget: Budget) -> DataFrame:
     """``(a, b)``, a < b: distinct pairs of keys that share a signature and whose fingerprints
     are within the budget. ``signed``: :data:`SIGNED`, of 128 bits; rows with ``probe`` = 1
     needn't meet each other. The signature is the top of the trie, on which two rows must
     agree. A signature of more than TILE rows is cut into chunks, and each pair of chunks is a
     task of its own, so no group is ever held whole and no pair is left out."""
+    signed = materialize(signed, "signed")
     # Only signatures too large for a tile are listed; most runs have few or none.
     hot = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
     hot = materialize(hot.select("sig", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")), "hot")
