@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from tidewater.session import materialize
 
 
-UNIT_BITS = 52
-
-
 def unit_hash(*cols: Column | str, salt: str = "") -> Column:
-    """A uniform number in [0, 1) that depends on the values and the salt only."""
-    h = F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(salt))
-    return F.shiftrightunsigned(h, 64 - UNIT_BITS).cast("double") / F.lit(float(1 << UNIT_BITS))
+    """A uniform number in [0, 1) that depends on the values (as texts) and the salt only: the
+    first 52 bits of an MD5, so other systems can follow it. Null values count as empty texts."""
+    texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    h = F.md5(F.concat_ws("\x1f", F.lit(salt), *texts))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def prefix_sums(
