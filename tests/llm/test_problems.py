@@ -92,10 +92,11 @@ def test_spikes_and_cut_results(spark):
     [
         (None, ["empty"]), ("", ["empty"]), ("​\n", ["empty"]), ("N/A", ["empty"]), ("<no output>", ["empty"]), ("Output:", ["empty"]), ("```\n```", ["empty"]),
         (EXP, []), (EXP[:60], ["truncated"]),
-        ("I'm sorry, but I can't help with that request.", ["refusal"]), ("Lo siento, no puedo procesar este texto.", ["refusal"]), ("Es tut mir leid, ich kann das nicht bearbeiten.", ["refusal"]),
-        ("Désolé, je ne peux pas traiter ce texte.", ["refusal"]),
+        ("I'm sorry, but I can't help with that request.", ["refusal"]), ("Lo siento, no puedo procesar este texto.", ["refusal", "other_language"]), ("Es tut mir leid, ich kann das nicht bearbeiten.", ["refusal", "other_language"]),
+        ("Désolé, je ne peux pas traiter ce texte.", ["refusal", "other_language"]),
         (RAW, ["copied"]), ("Transcript: " + RAW.upper() + "!", ["copied"]), (RAW + "\n" + RAW, ["copied"]),
         ("Die alte Brücke ist noch nicht fertig und der Schlüssel liegt im Büro.", ["other_language"]), ("Peut-être que le pont est déjà près de la gare avec la clé.", ["other_language"]),
+        (RAW[: RAW.index(" knows")] + " is sure", ["truncated", "copied_prefix"]), (EXP.replace("folder", "(folder"), ["unclosed"]), (EXP[:-4] + "«it", ["unclosed"]),
         ("Старый мост закрывается в девять часов вечера", ["other_language"]),
         ("The old bridge near Hallam opens at ten. Bring a red folder and a third key. Nobody knows who will paint it.", []),
     ],
@@ -258,8 +259,31 @@ def test_origins(spark):
 
 def test_related_records(spark):
     d = train_refs(spark, [("s", "s:f:spk1/1"), ("S-mirror", "s:f:speaker-001/2"), ("t", "t:f:spk1/3"), ("s", "s:f:spk2 and spk3/4"), ("s", "s:f:spk#3/5"), ("s", "s:f:spk3|spk4/6"), ("s", None), ("s", "s:f:"), ("s", "s:f:spk4/7")])
-    assert rows(splits.related_records(d.union(d))) == [("r000", "r001"), ("r003", "r004"), ("r003", "r005"), ("r003", "r008")]
-    assert splits.related_records(d.where("1=0")).count() == 0
+    t = spark.createDataFrame(TARGETS, "split_name string, target_share double")
+    assert rows(splits.related_records(d.union(d), t)) == [("r000", "r001"), ("r003", "r004"), ("r003", "r005"), ("r003", "r008")]
+    assert splits.related_records(d.where("1=0"), t).count() == 0
+
+
+def test_batches_keep_components_together(spark):
+    rng = random.Random(6)
+    d = train_refs(spark, [("s", f"s:f:spk{rng.randint(1, 60)}{'+spk' + str(rng.randint(1, 60)) if rng.random() < 0.1 else ''}/{i}") for i in range(300)] + [("s", None)] * 20)
+    t = spark.createDataFrame(TARGETS, "split_name string, target_share double")
+    x = splits.split_in_batches(d, t, 3).toPandas()
+    assert len(x) == 320 and x.id.is_unique and x.groupby("component").split.nunique().max() == 1
+    whole = splits.assign_splits(d, t)[0].toPandas()
+    same = x.merge(whole, on="id")
+    assert same.groupby("component_x").component_y.nunique().max() == 1 and same.groupby("component_y").component_x.nunique().max() == 1
+
+
+def test_samples_are_topped_up(spark, monkeypatch):
+    """Where the hash accepts too few, the next ones are taken, as if more had been accepted."""
+    c = spark.createDataFrame([(f"c{i}", None, "r", "e", ["big"], None, None, "x") for i in range(200)], CASE)
+    targets = spark.createDataFrame([("x", "cleanup_cases", "big", 0.5, 2, 0.4)], "target_set string, table_name string, category string, target_share double, min_rows int, sample_fraction double")
+    t = train_refs(spark, [])
+    a = rows(sampling.draw(c, t, targets))
+    monkeypatch.setattr(sampling, "OVERSAMPLE", 0.2)
+    monkeypatch.setattr(sampling, "SIGMAS", 0.0)
+    assert rows(sampling.draw(c, t, targets)) == a and len(a) == 40
 
 
 TARGETS = [("train", 0.8), ("validation", 0.1), ("test", 0.1), ("none", None)]
@@ -324,6 +348,7 @@ def test_leaves():
 def test_timing_percentiles(spark):
     data = [(i, "c", "s", "m", "v" if i % 3 else None, None, f'{{"t": {i}}}' if i % 10 else None, None, None, None, None, None, None, None) for i in range(1, 301)]
     d = spark.createDataFrame(data + data[:50], RESULT)
+    assert all(x.within for x in quantiles.percentile_check(d, 16).collect())
     for k in (4096, 16):
         r = {x.prompt_variant: x for x in quantiles.timing_percentiles(d, k).collect()}
         for g in ("v", None):
@@ -375,7 +400,16 @@ def test_leaks(spark, monkeypatch):
         kinds = {r.doc_id: r.kind for r in leakage.leaks(d, items).collect()}
         assert kinds[4] == "reparameterised" and 3 not in kinds
     assert leakage.leaked(d.where("1=0"), items).count() == 0 and leakage.leaked(d, items.where("1=0")).count() == 0
-    assert leakage.leak_report(d, items).first().exact_documents == 4
+    rep = {r.item_id: r for r in leakage.leak_report(d, items).collect()}
+    assert rep["h1"].exact_documents == 4 and rep["h1"].testable and not rep["h2"].testable and len(rep) == 2
+
+
+def test_slots_hold_over_all_windows(spark):
+    """One value of an item stands for one of the document, in all windows of the two."""
+    item = "take 12 boxes from the left shelf and put 12 boxes on the right shelf before nine"
+    items = cases(spark, [("h", item, None)])
+    d = docs(spark, [(1, item.replace("12", "40")), (2, item.replace("12", "40", 1).replace("12", "41")), (3, item.replace("12", "40", 1)), (4, item)])
+    assert {r.doc_id: r.kind for r in leakage.leaks(d, items).collect()} == {1: "reparameterised", 3: "exact", 4: "exact"}
 
 
 def test_leaks_equal_brute_force(spark):

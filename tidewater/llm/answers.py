@@ -50,6 +50,10 @@ def follow(answer: list[str], wanted: list[str]) -> tuple[float, int, bool]:
     n, m = len(answer), len(wanted)
     if not n:
         return 1.0, 0, False
+    # Plain beginnings need no alignment.
+    if n <= m and answer[:-1] == wanted[: n - 1] and wanted[n - 1].startswith(answer[-1]):
+        same = wanted[n - 1] == answer[-1]
+        return (0.0, n, False) if same else (0.3 / n, n, True)
     code: dict[str, int] = {}
     w = np.array([code.setdefault(x, len(code)) for x in wanted], np.int64)
     a = [code.get(x, -1) for x in answer]
@@ -82,6 +86,8 @@ def cut_short(text: str, wanted: list[str], raw: list[str]) -> str | None:
     found = []
     for w in (wanted, raw):
         if w:
+            if found and found[0][0] == 0 and len(w) > (1 + FOLLOWS) * len(a):
+                continue  # nothing follows better, and too much of the raw text is missing
             d, j, partial = follow(a, w)
             found.append((d, j, partial, len(w)))
             if j == len(w) and not partial and d <= FOLLOWS:

@@ -49,7 +49,9 @@ for _w, _by in _WEIGHT.items():
     for _lang in _by:
         _by[_lang] = 1.0 / len(_by)
 
-DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language")
+DEFECTS = ("empty", "truncated", "refusal", "copied", "other_language", "copied_prefix", "unclosed")
+#: Of these a result that has no other defect is not unusable.
+SLIGHT = ("copied_prefix", "unclosed")
 #: An answer in another language shares at most this share of its words with what is wanted.
 SHARED = 0.4
 
@@ -124,11 +126,19 @@ def refuses(text: str, wanted: list[str], raw: list[str]) -> bool:
     return True
 
 
-def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason: str | None = None, check_end: bool = True, every: bool = False) -> list[str]:
-    """The defects triggered, in the order of the rules; the language is looked at only where
-    nothing else was found, unless ``every`` defect is wanted. ``check_end``: whether the end is
-    looked at; the caller leaves it out where the end is known to be well. An unknown case
-    (nothing wanted, no raw text) can only be empty or refusing."""
+def copied_prefix(answer: list[str], wanted: list[str], raw: list[str]) -> bool:
+    """Whether an answer opens with half of the raw text or more, word for word, though the
+    wanted text opens otherwise."""
+    k = 0
+    while k < min(len(answer), len(raw)) and answer[k] == raw[k]:
+        k += 1
+    return k >= 5 and 2 * k >= len(raw) and k < len(raw) and raw[:k] != wanted[:k]
+
+
+def defects(text: str | None, wanted: str | None, raw: str | None, check_end: bool = True) -> list[str]:
+    """Every defect triggered, in the order of the rules, each rule on its own. ``check_end``:
+    whether the end is looked at; the caller leaves it out where the end is known to be well. An
+    unknown case (nothing wanted, no raw text) can only be empty, refusing or unclosed."""
     if stand_in(text):
         return ["empty"]
     assert text is not None
@@ -138,15 +148,12 @@ def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason
         out.append("truncated")
     body = unlabelled(text)
     a = words(body)
-    if a == e:
-        return out
-    if refuses(text, e, r):
-        out.append("refusal")
-    if r and e != r and within(r, a) and len(a) >= len(r):
-        out.append("copied")
-    if e and (every or not out):
-        known = set(e)
-        if sum(w in known for w in a) <= SHARED * len(a):
+    if a != e:
+        if refuses(text, e, r):
+            out.append("refusal")
+        if r and e != r and within(r, a) and len(a) >= len(r):
+            out.append("copied")
+        if e and sum(w in set(e) for w in a) <= SHARED * len(a):
             if script(body) != script(wanted or ""):
                 out.append("other_language")
             else:
@@ -155,4 +162,8 @@ def defects(text: str | None, wanted: str | None, raw: str | None, finish_reason
                 other, _ = language(unquoted(wanted or ""))
                 if lang and lang != other and lead > 0 and follow(a, e)[0] > FOLLOWS:
                     out.append("other_language")
+        if "copied" not in out and r and copied_prefix(a, e, r):
+            out.append("copied_prefix")
+    if unclosed(text) and not unclosed(wanted or ""):
+        out.append("unclosed")
     return out

@@ -49,7 +49,8 @@ class Summary:
         self._collapse()
 
     def _loose(self, values: np.ndarray) -> None:
-        v = np.concatenate((self.loose, values))
+        # In the order of the values, not of their arrival.
+        v = np.sort(np.concatenate((self.loose, values)))
         cut = len(v) // self.k * self.k
         for i in range(0, cut, self.k):
             self.full.setdefault(0, []).append(np.sort(v[i : i + self.k]))
@@ -280,3 +281,21 @@ def timing_percentiles(results: DataFrame, k: int = K) -> DataFrame:
     """``(prompt_variant, metric, n, p50, p90, p95, p99, rank_error)``; a null variant is a
     group. An empty table gives no rows."""
     return percentiles(materialize(summarise(result_leaves(results), k), "days"), k=k).withColumnRenamed("grp", "prompt_variant")
+
+
+def percentile_check(results: DataFrame, k: int = 64) -> DataFrame:
+    """``(prompt_variant, metric, n, collapsed, within)``: with buffers of only ``k`` values, whether
+    anything was collapsed and whether all percentiles lie within the ``rank_error`` they state,
+    by exact counts of the values below them."""
+    got = materialize(timing_percentiles(results, k), "percentiles")
+    ps = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{round(100 * p)}").alias("x")) for p in PERCENTILES])
+    asked = got.select(F.col("prompt_variant").alias("g"), F.col("metric").alias("m"), "n", "rank_error", F.inline(ps))
+    v = result_leaves(results).groupBy("grp", "metric", "value").agg(F.count(F.lit(1)).alias("c"))
+    # Four rows a group on one side.
+    j = v.join(asked, F.col("grp").eqNullSafe(F.col("g")) & (F.col("metric") == F.col("m")))
+    r = j.groupBy("g", "m", "p").agg(
+        F.first("n").alias("n"), F.first("rank_error").alias("e"), F.sum(F.when(F.col("value") < F.col("x"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("x"), F.col("c")).otherwise(0)).alias("upto")
+    )
+    rank = F.ceil(F.round(F.col("p") * F.col("n"), 9))
+    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("upto"), F.lit(0))
+    return r.groupBy(F.col("g").alias("prompt_variant"), F.col("m").alias("metric")).agg(F.first("n").alias("n"), F.bool_or(F.col("e") > 0).alias("collapsed"), F.bool_and(off <= F.col("e") * F.col("n") + 1e-6).alias("within"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm import leakage, mixing, neardup, pairs, quantiles, residue, sampling, splits, truncation
 from tidewater.session import ship, table
@@ -44,15 +45,18 @@ QUERIES: dict[str, Query] = {
     "p4_found": _q(sampling.unmet_targets, *SAMPLE),
     "p4_sample": _q(sampling.draw, *SAMPLE),
     "p4_report": _q(sampling.sample_report, *SAMPLE),
-    "p5_found": _q(splits.related_records, "train_sotto_lfm"),
+    "p5_found": _q(splits.related_records, *SPLIT),
     "p5_splits": _q(_splits, *SPLIT),
+    "p5_batches": _q(lambda t, s: splits.split_in_batches(t, s).groupBy("component").agg(F.countDistinct("split").alias("splits"), F.count(F.lit(1)).alias("records")), *SPLIT),
     "p5_report": _q(_split_report, *SPLIT),
     "p6_percentiles": _q(quantiles.timing_percentiles, "cleanup_results"),
+    "p6_bounds": _q(quantiles.percentile_check, "cleanup_results"),
     "p7_found": _q(leakage.leaked, "documents", "heldout_cases"),
     "p7_leaks": _q(leakage.leaks, "documents", "heldout_cases"),
     "p7_items": _q(leakage.leak_report, "documents", "heldout_cases"),
     "p8_found": _q(mixing.short_sources, "documents", "mix_targets"),
     "p8_mix": _q(mixing.mix, "documents", "mix_targets"),
+    "p8_mix_bytes": _q(lambda d, t: mixing.mix(d, t, mixing.BYTES), "documents", "mix_targets"),
     "p8_report": _q(mixing.mix_report, "documents", "mix_targets"),
     "p9_found": _q(residue.residue_kinds, "documents"),
     "p9_sources": _q(residue.residue_sources, "documents"),

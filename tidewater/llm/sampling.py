@@ -1,8 +1,9 @@
 """Problem 4: samples that match target category proportions.
 
 Per target an acceptance probability follows from wanted over observed counts; records are
-accepted independently by a hash, slightly more than needed; the accepted ones are then cut
-to the exact count by distributed ranks. Targets that the records cannot satisfy are reported."""
+accepted independently by a hash, slightly more than needed. The counts are then corrected
+exactly: where too few were accepted the next ones are taken, where too many the last ones are
+cut by distributed ranks. Targets that the records cannot satisfy are reported."""
 
 from __future__ import annotations
 
@@ -57,31 +58,42 @@ def _plan_of(cases: DataFrame, train: DataFrame, targets: DataFrame) -> tuple[Da
 
 
 def unmet_targets(cases: DataFrame, train: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(target_set, category)`` of the targets that the records cannot satisfy. A category
+    """``(target_set, category)`` of the targets with a deficit in the drawn sample. A category
     nobody has is unmet; empty tables make every target with a minimum unmet."""
-    _, p = _plan_of(cases, train, targets)
-    return p.where(F.col("have") < F.col("wanted")).select("target_set", "category").distinct()
+    return sample_report(cases, train, targets).where("deficit > 0").select("target_set", "category").distinct()
 
 
-def draw(cases: DataFrame, train: DataFrame, targets: DataFrame, seed: str = "sample") -> DataFrame:
-    """``(target_set, category, id)``: for each target exactly min(quota, have) distinct ids. A
-    case may be drawn for several of its categories. Deterministic for a seed, whatever the
-    partitions."""
-    members, p = _plan_of(cases, train, targets)
+def _drawn(members: DataFrame, p: DataFrame, seed: str) -> DataFrame:
     # One row per target, so its size doesn't follow the records; AQE broadcasts it if small.
-    p = p.select("target_set", "table_name", "category", "key", "quota", "p_accept")
+    p = p.select("target_set", "table_name", "category", "key", "quota", "have", "p_accept")
     m = members.withColumnRenamed("category", "key")
-    u = unit_hash("id", "target_set", "key", salt=seed)
-    accepted = m.join(p, ["table_name", "key"]).withColumn("u", u).where(F.col("u") < F.col("p_accept"))
-    # Ranges of u must be uniform in [0, 1) after acceptance.
-    accepted = materialize(accepted.withColumn("v", F.col("u") / F.col("p_accept")), "accepted")
+    u = unit_hash("target_set", "key", "id", salt=seed)
+    both = m.join(p, ["table_name", "key"]).withColumn("u", u)
+    accepted = materialize(both.where(F.col("u") < F.col("p_accept")), "accepted")
+    n = accepted.groupBy("target_set", "category").agg(F.count(F.lit(1)).alias("n"))
+    short = p.join(n, ["target_set", "category"], "left").where(F.coalesce("n", F.lit(0)) < F.least("quota", "have"))
+    short = materialize(short.select("target_set", "category"), "short")
+    if not short.isEmpty():
+        # The records with the next hashes make up for it: those of the whole category are ranked.
+        more = both.join(short, ["target_set", "category"], "left_semi").withColumn("p_accept", F.lit(1.0))
+        accepted = materialize(accepted.join(short, ["target_set", "category"], "left_anti").unionByName(more), "accepted")
+    # Ranges of v must be uniform in [0, 1) after acceptance.
+    accepted = accepted.withColumn("v", F.col("u") / F.col("p_accept"))
     return take_first(accepted, ["target_set", "category"], "v", "id", "quota").select("target_set", "category", "id")
 
 
+def draw(cases: DataFrame, train: DataFrame, targets: DataFrame, seed: str = "sample") -> DataFrame:
+    """``(target_set, category, id)``: for each target exactly min(quota, have) distinct ids, those
+    with the smallest hashes. A case may be drawn for several of its categories. Deterministic
+    for a seed, whatever the partitions."""
+    return _drawn(*_plan_of(cases, train, targets), seed)
+
+
 def sample_report(cases: DataFrame, train: DataFrame, targets: DataFrame, seed: str = "sample") -> DataFrame:
     """Per target wanted, available and drawn rows, the deficit, and the share of the sample."""
-    _, p = _plan_of(cases, train, targets)
-    drawn = draw(cases, train, targets, seed).groupBy("target_set", "category").agg(F.count(F.lit(1)).alias("drawn"))
+    members, p = _plan_of(cases, train, targets)
+    p = materialize(p, "plan")
+    drawn = _drawn(members, p, seed).groupBy("target_set", "category").agg(F.count(F.lit(1)).alias("drawn"))
     full = drawn.groupBy("target_set").agg(F.sum("drawn").alias("of"))
     r = p.join(drawn, ["target_set", "category"], "left").join(full, "target_set", "left")
     d = F.coalesce("drawn", F.lit(0))

@@ -7,16 +7,20 @@ components that lie in different splits is quarantined."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.names import origin_entities
 from tidewater.operators.components import connected_components
 from tidewater.operators.prefix import prefix_sums, unit_hash
-from tidewater.session import materialize
+from tidewater.session import materialize, shared_dir
 
 COMPONENTS = "entity string, component string, split string"
 QUARANTINE = "quarantine"
+#: Opens the component of a record that names no origin.
+ALONE = "id:"
 #: A component of more than this share of all records is placed on its own; there are at most
 #: 1 / LARGE of them, which bounds what the driver sees.
 LARGE = 0.002
@@ -27,7 +31,7 @@ def merge_components(records: DataFrame, existing: DataFrame | None = None) -> D
     existing table. Component names are the smallest entity of the component."""
     ents = records.where(F.size("entities") > 0)
     ties = ents.where(F.size("entities") > 1).select(
-        F.col("entities")[0].alias("src"), F.explode(F.slice("entities", 2, 1 << 20)).alias("dst")
+        F.col("entities")[0].alias("src"), F.explode(F.slice("entities", F.lit(2), F.size("entities"))).alias("dst")
     )
     every = ents.select(F.explode("entities").alias("entity"))
     if existing is not None:
@@ -46,27 +50,37 @@ def record_components(records: DataFrame, existing: DataFrame | None = None, tab
     return first.join(table.select("entity", "component"), "entity").select("id", "component")
 
 
-def related_records(train: DataFrame) -> DataFrame:
+def related_records(train: DataFrame, targets: DataFrame) -> DataFrame:
     """``(first_id, id)``: each member but the smallest of every group of two or more related
-    records. Records with a null or unfinished reference belong to no group; a null id is
-    ignored; repeated rows count once. No records give no rows."""
-    records = materialize(origin_entities(train).where("id IS NOT NULL").where(F.size("entities") > 0), "origins")
-    # Only origins that some record ties to another can have another component than their own.
-    ties = records.where(F.size("entities") > 1).select(
-        F.col("entities")[0].alias("src"), F.explode(F.slice("entities", 2, 1 << 20)).alias("dst")
-    )
-    comps = connected_components(ties)
-    member = (
-        records.select("id", F.col("entities")[0].alias("entity"))
-        .join(comps, F.col("entity") == F.col("node"), "left")
-        .select("id", F.coalesce("component", "entity").alias("component"))
-    )
+    records, by the components that :func:`assign_splits` keeps together. Records with a null or
+    unfinished reference belong to no group; a null id is ignored; repeated rows count once. No
+    records give no rows."""
+    member = assign_splits(train, targets)[0].where(~F.col("component").startswith(ALONE)).select("component", "id")
     member = materialize(member, "members")
     # Partial minima meet in the final aggregate, so a group of any size is one row per map task.
     first = member.groupBy("component").agg(F.min("id").alias("first_id"))
     return member.join(first, "component").where("id <> first_id").select("first_id", "id").distinct()
 
 
+def split_in_batches(train: DataFrame, targets: DataFrame, batches: int = 2, seed: str = "splits") -> DataFrame:
+    """``(id, component, split)`` of all records delivered in several batches (by a hash of the
+    origin's text): each batch updates the persisted table of components of the one before."""
+    spark = train.sparkSession
+    of = F.pmod(F.crc32(F.coalesce("source_ref", F.lit(""))), F.lit(batches))
+    table, out = None, None
+    for k in range(batches):
+        got, table = assign_splits(train.where(of == k), targets, table, seed)
+        path = f"{shared_dir(spark)}/tidewater/components-{uuid.uuid4().hex}"
+        save_components(table, path)
+        table = load_components(spark, path)
+        # What was given out stays; a component that grew has its present name.
+        got = materialize(got, "batch")
+        out = got if out is None else out.union(got)
+    now = table.select("entity", F.col("component").alias("now"), F.col("split").alias("last"))
+    out = out.withColumnRenamed("component", "entity").join(now, "entity", "left")
+    return out.select("id", F.coalesce("now", "entity").alias("component"), F.when(F.col("last") == QUARANTINE, F.col("last")).otherwise(F.col("split")).alias("split"))
+
+
 def assign_splits(
     train: DataFrame, targets: DataFrame, existing: DataFrame | None = None, seed: str = "splits"
 ) -> tuple[DataFrame, DataFrame]:
@@ -91,10 +105,12 @@ def assign_splits(
         comps = comps.withColumn("old", F.lit(None).cast("string"))
     comps = materialize(comps, "components")
     fate = comps.groupBy("component").agg(F.min("old").alias("lo"), F.max("old").alias("hi"))
+    kept = F.when(F.col("lo") != F.col("hi"), F.lit(QUARANTINE)).otherwise(F.col("lo"))
+    fate = fate.select("component", kept.alias("kept"))
     member = (
         records.select("id", F.when(F.size("entities") > 0, F.col("entities")[0]).alias("entity"))
         .join(comps.select("entity", "component"), "entity", "left")
-        .select("id", F.coalesce("component", F.concat(F.lit("id:"), F.col("id"))).alias("component"))
+        .select("id", F.coalesce("component", F.concat(F.lit(ALONE), F.col("id"))).alias("component"))
         .distinct()
     )
     member = materialize(member, "members")
@@ -102,7 +118,6 @@ def assign_splits(
         member.groupBy("component")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(fate, "component", "left")
-        .withColumn("kept", F.when(F.col("lo") != F.col("hi"), F.lit(QUARANTINE)).otherwise(F.col("lo")))
         .select("component", "n", "kept")
     )
     sizes = materialize(sizes, "sizes")
@@ -118,7 +133,7 @@ def assign_splits(
         lacks[s] -= r.n
         placed.append((r.component, s))
     rest = free.where(F.col("n") <= bar).withColumn("u", unit_hash("component", salt=seed))
-    rest = prefix_sums(rest, [], "u", "component", "n")
+    rest = materialize(prefix_sums(materialize(rest, "rest"), [], "u", "component", "n"), "rest")
     left = sum(max(0.0, x) for x in lacks.values()) or 1.0
     n_rest = rest.agg(F.sum("n")).first()[0] or 0
     split = F.lit(None).cast("string")
@@ -136,7 +151,9 @@ def assign_splits(
     )
     chosen = materialize(chosen, "splits")
     out = member.join(chosen, "component").select("id", "component", "split")
-    table = comps.select("entity", "component").join(chosen, "component", "left").select("entity", "component", "split")
+    # Components without a record in this batch keep what they had.
+    table = comps.select("entity", "component").join(chosen, "component", "left").join(fate, "component", "left")
+    table = table.select("entity", "component", F.coalesce("split", "kept").alias("split"))
     return out, table
 
 

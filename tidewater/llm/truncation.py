@@ -109,31 +109,45 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(cut=out)
 
 
+def _squeezed(c: str) -> F.Column:
+    return F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", "")
+
+
 def cut_results(results: DataFrame, *cases: DataFrame) -> DataFrame:
     """``(result_id, run_source, at_spike, cut)`` of the results whose end is missing; ``cut``
     is ``word`` or ``words``. Results of unknown cases, empty ones and those that give another
     text than their case's are left out; re-delivered results count once."""
-    s = suspects(results.where("result_id IS NOT NULL").select(*LOOKED_AT)).where("suspect").select("result_id", "case_id", "run_source", "model_text", "at_spike")
+    s = suspects(results.where("result_id IS NOT NULL").select(*LOOKED_AT)).where("suspect")
+    # Written, as it is counted for hot cases before it is joined.
+    s = materialize(s.select("result_id", "case_id", "run_source", "model_text", "at_spike").dropDuplicates(["result_id"]), "suspects")
     j = salted_join(s, known_cases(*cases), "case_id", "result_id", "inner")
+    # An answer with the letters and digits of the wanted text is whole.
+    j = j.where(~F.coalesce((_squeezed("model_text") == _squeezed("expected")) & ~F.col("model_text").rlike(r"[&\\\\%<\uFFFD]"), F.lit(False)))
     out = "result_id bigint, run_source string, at_spike boolean, cut string"
     c = j.select("result_id", "run_source", "at_spike", "model_text", "raw", "expected").mapInPandas(_check, out)
-    return c.where("cut IS NOT NULL").dropDuplicates(["result_id"])
+    return c.where("cut IS NOT NULL")
 
 
 def truncation_report(results: DataFrame, *cases: DataFrame) -> DataFrame:
-    """Per source: results, truncated ones and their rate, how many of these lie at a length
-    spike, how many results the limit flag names, and how many it names rightly."""
-    cut = cut_results(results, *cases).select("result_id", "at_spike")
-    one = results.where("result_id IS NOT NULL").groupBy("result_id").agg(
-        F.first("run_source").alias("run_source"), F.bool_or("hit_output_token_limit").alias("flag")
+    """Per source: results, truncated ones and their rate; what spikes alone give (results at a
+    spike length without terminal punctuation), how many of these are truncated and which share
+    of the truncated they find; and how many results the limit flag names, and rightly."""
+    cut = cut_results(results, *cases).select("result_id", F.lit(True).alias("cut"))
+    spike = suspects(results.where("result_id IS NOT NULL").select(*LOOKED_AT))
+    by_spike = F.col("at_spike") & ~F.coalesce(F.col("model_text").rlike(ENDS_WELL), F.lit(False))
+    one = spike.groupBy("result_id").agg(
+        F.first("run_source").alias("run_source"), F.bool_or("hit_output_token_limit").alias("flag"), F.bool_or(by_spike).alias("by_spike")
     )
     j = one.join(cut, "result_id", "left")
-    is_cut = F.col("at_spike").isNotNull()
+    is_cut, n = F.col("cut").isNotNull(), F.count(F.lit(1))
     return j.groupBy("run_source").agg(
-        F.count(F.lit(1)).alias("results"),
+        n.alias("results"),
         F.count_if(is_cut).alias("truncated"),
-        (F.count_if(is_cut) / F.count(F.lit(1))).alias("rate"),
-        F.count_if(F.col("at_spike")).alias("truncated_at_spike"),
+        (F.count_if(is_cut) / n).alias("rate"),
+        F.count_if("by_spike").alias("by_spike_alone"),
+        F.count_if(F.col("by_spike") & is_cut).alias("truncated_at_spike"),
+        F.try_divide(F.count_if(F.col("by_spike") & is_cut), F.count_if(is_cut)).alias("spike_recall"),
+        F.try_divide(F.count_if(F.col("by_spike") & is_cut), F.count_if("by_spike")).alias("spike_precision"),
         F.count_if(F.col("flag")).alias("flagged"),
         F.count_if(F.col("flag") & is_cut).alias("flagged_truncated"),
     )
