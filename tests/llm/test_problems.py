@@ -557,7 +557,7 @@ def test_near_passages_meet(spark):
         a.append(" ".join(w))
         b.append(" ".join(v))
     x, y = residue.fingerprints(a), residue.fingerprints(b)
-    found = set(zip(*[z.tolist() for z in residue.meet(x, y)]))
+    found = set(zip(*[z.tolist() for z in residue.Tables(y).meet(x)]))
     for i in range(300):
         p, q = (set(residue.grams([t])[1].tolist()) for t in (a[i], b[i]))
         if 2 * len(p & q) >= len(p | q):
