@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import text as T
 from tidewater.functions import udfs
 from tidewater.operators.skew import salted_join
+from tidewater.session import materialize
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -36,13 +37,17 @@ def paired(results: DataFrame, cases: DataFrame) -> DataFrame:
     return salted_join(results, cases, "case_id", "result_id", "inner")
 
 
-def unmatched(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """``(kind, case_id, n)``: results of unknown cases, cases without a result, and cases
-    answered more than once by one run."""
+def unmatched(results: DataFrame, cases: DataFrame, run: str | None = None) -> DataFrame:
+    """``(kind, case_id, n)``: results of unknown cases, cases without a result, and, where the
+    column of the runs is named, cases answered more than once by a run (with the most answers)."""
     r = results.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    unknown = r.join(cases, "case_id", "left_anti").select(F.lit("unknown").alias("kind"), "case_id", "n")
-    missing = cases.join(r, "case_id", "left_anti").select(F.lit("missing").alias("kind"), "case_id", F.lit(0).cast("bigint").alias("n"))
-    return unknown.unionByName(missing)
+    kind = lambda d, k, n="n": d.select(F.lit(k).alias("kind"), "case_id", F.col(n).cast("bigint").alias("n"))
+    out = kind(r.join(cases, "case_id", "left_anti"), "unknown")
+    out = out.unionByName(kind(cases.join(r, "case_id", "left_anti").withColumn("n", F.lit(0)), "missing"))
+    if run:
+        twice = results.groupBy("case_id", run).agg(F.count(F.lit(1)).alias("m")).where("m > 1").groupBy("case_id").agg(F.max("m").alias("n"))
+        out = out.unionByName(kind(twice, "repeated"))
+    return out
 
 
 def _score_columns(pairs: DataFrame, field: str, nfc: bool = False) -> DataFrame:
@@ -157,22 +162,71 @@ def near_ceil_rank(c: str, p: float) -> Column:
     return _sorted_at(c, F.greatest(F.floor(F.count(c) * F.lit(p) + F.lit(0.999999)), F.lit(1)))
 
 
-def ranked_exact(df: DataFrame, by: Sequence[str], value: str, positions: dict[str, Column]) -> DataFrame:
-    """Order statistics of groups of any size: rows are ranked within ranges of the value, not
-    gathered. ``positions`` are 1-based, given in terms of ``n``, the rows of the group."""
+def cumulated(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``(by, value, m, upto, n)``: the distinct values of each group, how many rows have each, how
+    many have it or a smaller one, and all rows of the group. Values are range-partitioned and
+    summed within their partition; the sums of the partitions before are added, of which a group
+    has as many as partitions it spans. Null values are left out."""
+    by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("m").over(w)).withColumn("n", F.sum("m").over(Window.partitionBy(*by)))
+    d = counts.repartitionByRange(*by, value).withColumn("__p", F.spark_partition_id())
+    d = materialize(d, "ranges")
+    part = d.groupBy(*by, "__p").agg(F.sum("m").alias("__s"))
+    same = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__s").over(same.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = part.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("__p").alias("__q"), before.alias("__o"), F.sum("__s").over(same).alias("n"))
+    at = F.col("__p") == F.col("__q")
+    for i, c in enumerate(by):
+        at = at & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    inner = F.sum("m").over(Window.partitionBy(*by, "__p").orderBy(value))
+    return d.withColumn("__i", inner).join(part, at).select(*by, value, "m", (F.col("__i") + F.col("__o")).alias("upto"), "n")
+
+
+def ranked_exact(df: DataFrame, by: Sequence[str], value: str, positions: dict[str, Column]) -> DataFrame:
+    """Order statistics of groups of any size, by :func:`cumulated`. ``positions`` are 1-based,
+    given in terms of ``n``, the rows of the group."""
+    c = cumulated(df, by, value)
     out = [F.min(F.when(F.col("upto") >= p, F.col(value))).alias(k) for k, p in positions.items()]
-    return upto.groupBy(*by).agg(F.first("n").alias("n"), *out)
+    return c.groupBy(*by).agg(F.first("n").alias("n"), *out)
+
+
+def nearest_at(p: float) -> Column:
+    """The position of the nearest-rank percentile."""
+    return F.ceil(F.round(F.col("n") * F.lit(p), 9))
+
+
+def between(p: float) -> tuple[Column, Column, Column]:
+    """The positions on both sides of the interpolated percentile, and the weight of the upper."""
+    at = (F.col("n") - 1) * F.lit(p) + 1
+    return F.floor(at), F.ceil(at), at - F.floor(at)
+
+
+def percentiles_exact(df: DataFrame, by: Sequence[str], value: str, nearest: dict[str, float] | None = None, linear: dict[str, float] | None = None) -> DataFrame:
+    """``(by, n, ...)``: nearest-rank and interpolated percentiles of groups of any size."""
+    at = {k: nearest_at(p) for k, p in (nearest or {}).items()}
+    for k, p in (linear or {}).items():
+        at |= {f"__lo_{k}": between(p)[0], f"__hi_{k}": between(p)[1]}
+    r = ranked_exact(df, by, value, at)
+    mid = [(F.col(f"__lo_{k}") + (F.col(f"__hi_{k}") - F.col(f"__lo_{k}")) * between(p)[2]).alias(k) for k, p in (linear or {}).items()]
+    return r.select(*by, "n", *(nearest or {}), *mid)
+
+
+def _beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two results by one key, null keys included; ``a`` has every group of ``b``."""
+    names = {c: f"__k{i}" for i, c in enumerate(by)}
+    b = b.withColumnsRenamed(names)
+    on = F.lit(True)
+    for c, k in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return a.join(b, on, "left").drop(*names.values())
 
 
 def timing_summary(rows: DataFrame, by: Sequence[str], metric: str = "metric", value: str = "value") -> DataFrame:
-    """Count, extremes, median, nearest-rank p95 and mean for each metric."""
-    return rows.groupBy(*by, metric).agg(
-        F.count(value).alias("n"), F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"),
-        nearest_rank(value, 0.95).alias("p95"), F.max(value).alias("most"), F.avg(value).alias("mean"),
-    )
+    """Count, extremes, median, nearest-rank p95 and mean for each metric, of groups of any size."""
+    by = [*by, metric]
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    ranked = percentiles_exact(rows, by, value, {"p95": 0.95}, {"median": 0.5}).drop("n")
+    return _beside(plain, ranked, by)
 
 
 def flat_timings(results: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -209,14 +263,15 @@ def word_errors(m: DataFrame) -> DataFrame:
 
 
 def speech_latency(m: DataFrame) -> DataFrame:
-    """Latency and real-time factors of all measured rows for each engine."""
+    """Latency and real-time factors of all measured rows for each engine, of any number."""
     v, r = "inference_duration_ms", "real_time_factor"
-    return m.groupBy("engine").agg(
-        F.count(F.lit(1)).alias("runs"), F.countDistinct("run_id", "case_id").alias("cases"),
-        F.percentile(v, F.lit(0.5)).alias("median_ms"), interpolated(v, 0.9).alias("p90_ms"), interpolated(v, 0.99).alias("p99_ms"), F.max(v).alias("max_ms"),
-        F.percentile(r, F.lit(0.5)).alias("median_rtf"), interpolated(r, 0.9).alias("p90_rtf"), F.max("process_pss_kb_after_inference").alias("peak_pss_kb"),
-        F.max("thermal_status_after_inference").alias("max_thermal"),
+    plain = m.groupBy("engine").agg(
+        F.count(F.lit(1)).alias("runs"), F.countDistinct("run_id", "case_id").alias("cases"), F.max(v).alias("max_ms"),
+        F.max("process_pss_kb_after_inference").alias("peak_pss_kb"), F.max("thermal_status_after_inference").alias("max_thermal"),
     )
+    ms = percentiles_exact(m, ["engine"], v, linear={"median_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99}).drop("n")
+    rtf = percentiles_exact(m, ["engine"], r, linear={"median_rtf": 0.5, "p90_rtf": 0.9}).drop("n")
+    return _beside(_beside(plain, ms, ["engine"]), rtf, ["engine"])
 
 
 def corpus_rtf(m: DataFrame) -> DataFrame:
@@ -239,6 +294,12 @@ def repeat_completeness(m: DataFrame) -> DataFrame:
     return c.groupBy("engine", "run_id").agg(F.count(F.lit(1)).alias("cases"), F.count_if("whole").alias("whole"), F.min("n").alias("least_repeats"), F.max("n").alias("most_repeats"))
 
 
+def twos(df: DataFrame, column: str) -> DataFrame:
+    """``(a, b)``, a < b: each two of the few values of a column, nulls left out."""
+    s = df.agg(F.array_sort(F.collect_set(column)).alias("s"))
+    return s.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b")
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """``(key, status)`` of two runs: ``same``, ``differs``, ``only_left``, ``only_right``."""
     x = a.select(*key, F.col(text).alias("__x"), F.lit(True).alias("__l"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +69,18 @@ def remaining(assigned: DataFrame, done: DataFrame, order: str = "source_index")
 
 
 def ordered_digest(df: DataFrame, column: str, order: str) -> DataFrame:
-    """SHA-256 over the texts in order, one a line; for reports of bounded size."""
-    one = df.agg(F.array_sort(F.collect_list(F.struct(order, column))).alias("l"))
-    return one.select(F.sha2(F.concat(F.array_join(F.transform("l", lambda x: x[column]), "\n"), F.lit("\n")), 256).alias("digest"))
+    """SHA-256 over the texts in order, one a line. A digest of a sequence is one stream: one task
+    reads the sorted rows and holds nothing but the state of the hash. Null texts count as empty;
+    no rows give the digest of nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = hashlib.sha256()
+        for b in batches:
+            for t in b[column]:
+                h.update((t or "").encode() + b"\n")
+        yield pd.DataFrame({"digest": [h.hexdigest()]})
+
+    return df.select(order, column).repartition(1).sortWithinPartitions(order).mapInPandas(run, "digest string")
 
 
 def runs(results: DataFrame, label: str | None = None) -> DataFrame:

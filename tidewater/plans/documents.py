@@ -100,7 +100,7 @@ def bench_contamination_exact(docs: DataFrame, heldout: DataFrame) -> DataFrame:
     sql=f"""
 WITH d AS (SELECT doc_id, {S.words('text')} AS w FROM documents),
 dg AS (SELECT doc_id, unnest({S.ngrams('w', 3)}) AS gram FROM d),
-h AS (SELECT id, {S.words('expected')} AS w FROM heldout_cases),
+h AS (SELECT id, {S.words('expected')} AS w FROM heldout_cases UNION ALL SELECT id, {S.words('raw')} FROM heldout_cases),
 hg AS (SELECT DISTINCT id, unnest({S.ngrams('w', 3)}) AS gram FROM h)
 SELECT doc_id, id AS item, count(*) AS shared FROM dg JOIN hg USING (gram) GROUP BY doc_id, id HAVING count(*) >= 5""",
 )
@@ -108,7 +108,7 @@ def bench_contamination_ngram(docs: DataFrame, heldout: DataFrame) -> DataFrame:
     """Documents and frozen texts that share five word 3-grams or more (an inverted index)."""
     gram = lambda c: F.explode(T.word_ngrams("w", 3)).alias("gram")
     d = docs.select("doc_id", T.lexical_tokens("text").alias("w")).select("doc_id", gram("w"))
-    h = heldout.select(F.col("id").alias("item"), T.lexical_tokens("expected").alias("w")).select("item", gram("w")).distinct()
+    h = dedup.frozen_surfaces(heldout).select("item", T.lexical_tokens("surface").alias("w")).select("item", gram("w")).distinct()
     return d.join(h, "gram").groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 5")
 
 

@@ -86,11 +86,12 @@ def eval_finish_reasons(results: DataFrame) -> DataFrame:
     sql=f"""
 WITH {S.LATEST_RESULTS.strip()}, {S.CASES.strip()}, r AS (SELECT case_id, count(*) AS n FROM latest GROUP BY case_id)
 SELECT 'unknown' AS kind, case_id, n FROM r WHERE case_id NOT IN (SELECT case_id FROM cases)
-UNION ALL SELECT 'missing', case_id, CAST(0 AS BIGINT) FROM cases WHERE case_id NOT IN (SELECT case_id FROM r)""",
+UNION ALL SELECT 'missing', case_id, CAST(0 AS BIGINT) FROM cases WHERE case_id NOT IN (SELECT case_id FROM r)
+UNION ALL SELECT 'repeated', case_id, max(m) FROM (SELECT case_id, run_source, count(*) AS m FROM latest GROUP BY ALL HAVING count(*) > 1) GROUP BY case_id""",
 )
 def eval_unmatched(*t: DataFrame) -> DataFrame:
-    """Results of unknown cases and cases without a result."""
-    return E.unmatched(E.latest(t[0], "result_id", "ingested_at"), E.one_case(*t[1:]))
+    """Results of unknown cases, cases without a result and cases that a run answered twice."""
+    return E.unmatched(E.latest(t[0], "result_id", "ingested_at"), E.one_case(*t[1:]), "run_source")
 
 
 @query(
@@ -165,16 +166,21 @@ def eval_instability(results: DataFrame) -> DataFrame:
     "cleanup_results",
     sql=f"""
 WITH {S.LATEST_RESULTS.strip()},
-c AS (SELECT prompt_variant, case_id, max_by(model_text, result_id) AS t FROM latest WHERE model_name = 'tern-350m' AND model_text IS NOT NULL GROUP BY ALL),
-a AS (SELECT case_id, t FROM c WHERE prompt_variant = 'baseline_rules'), b AS (SELECT case_id, t FROM c WHERE prompt_variant = 'few_shot_corrections')
-SELECT case_id, CASE WHEN b.t IS NULL THEN 'only_left' WHEN a.t IS NULL THEN 'only_right' WHEN a.t = b.t THEN 'same' ELSE 'differs' END AS status
-FROM a FULL JOIN b USING (case_id)""",
+c AS (SELECT model_name, prompt_variant, case_id, max_by(model_text, result_id) AS t FROM latest WHERE model_text IS NOT NULL AND case_id IS NOT NULL AND model_name IS NOT NULL GROUP BY ALL),
+v AS (SELECT DISTINCT prompt_variant AS p FROM c WHERE prompt_variant IS NOT NULL),
+k AS (SELECT x.p AS a, y.p AS b FROM v x JOIN v y ON x.p < y.p),
+l AS (SELECT k.*, c.model_name, c.case_id, c.t FROM k JOIN c ON c.prompt_variant = k.a), r AS (SELECT k.*, c.model_name, c.case_id, c.t FROM k JOIN c ON c.prompt_variant = k.b)
+SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, coalesce(l.model_name, r.model_name) AS model_name,
+  CASE WHEN r.t IS NULL THEN 'only_left' WHEN l.t IS NULL THEN 'only_right' WHEN l.t = r.t THEN 'same' ELSE 'differs' END AS status, count(*) AS n
+FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.model_name = r.model_name AND l.case_id = r.case_id GROUP BY ALL""",
 )
 def eval_compare_variants(results: DataFrame) -> DataFrame:
-    """One model's answers under two prompts, case by case."""
+    """The answers of every model under each two prompts, case by case."""
     r = E.latest(results.select("result_id", "model_name", "case_id", "prompt_variant", "model_text", "ingested_at"), "result_id", "ingested_at")
-    c = r.where("model_name = 'tern-350m' AND model_text IS NOT NULL").groupBy("prompt_variant", "case_id").agg(F.max_by("model_text", "result_id").alias("t"))
-    return E.compare_runs(c.where("prompt_variant = 'baseline_rules'"), c.where("prompt_variant = 'few_shot_corrections'"), ["case_id"], "t")
+    c = r.where("model_text IS NOT NULL AND case_id IS NOT NULL AND model_name IS NOT NULL").groupBy("model_name", "prompt_variant", "case_id").agg(F.max_by("model_text", "result_id").alias("t"))
+    k = E.twos(c, "prompt_variant")
+    left, right = (k.join(c, F.col("prompt_variant") == F.col(s)).select("a", "b", "model_name", "case_id", "t") for s in ("a", "b"))
+    return E.compare_runs(left, right, ["a", "b", "model_name", "case_id"], "t").groupBy("a", "b", "model_name", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -74,20 +74,18 @@ def stt_percentile_flavours(bench: DataFrame) -> DataFrame:
 
 @query(
     "stt_bench",
-    sql=f"""{_M}, x AS (SELECT case_id, repeat_index, any_value(hypothesis) AS h, count(*) AS n, engine FROM measured GROUP BY engine, case_id, repeat_index),
-e AS (SELECT min(engine) AS a, max(engine) AS b FROM measured),
-l AS (SELECT DISTINCT case_id, repeat_index FROM x, e WHERE engine = e.a), r AS (SELECT DISTINCT case_id, repeat_index FROM x, e WHERE engine = e.b)
-SELECT CASE WHEN l.case_id IS NULL THEN 'only_right' WHEN r.case_id IS NULL THEN 'only_left' ELSE 'both' END AS status, count(*) AS n
-FROM l FULL JOIN r ON l.case_id = r.case_id AND l.repeat_index = r.repeat_index GROUP BY 1""",
+    sql=f"""{_M}, x AS (SELECT DISTINCT engine, case_id, repeat_index FROM measured), k AS (SELECT a.engine AS a, b.engine AS b FROM (SELECT DISTINCT engine FROM x) a JOIN (SELECT DISTINCT engine FROM x) b ON a.engine < b.engine),
+l AS (SELECT k.*, case_id, repeat_index FROM k JOIN x ON x.engine = k.a), r AS (SELECT k.*, case_id, repeat_index FROM k JOIN x ON x.engine = k.b)
+SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, CASE WHEN l.case_id IS NULL THEN 'only_right' WHEN r.case_id IS NULL THEN 'only_left' ELSE 'both' END AS status, count(*) AS n
+FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.case_id = r.case_id AND l.repeat_index = r.repeat_index GROUP BY ALL""",
 )
 def stt_engine_membership(bench: DataFrame) -> DataFrame:
-    """Repeats that two engines have in common, and those of one alone."""
-    m = E.measured(bench)
-    ends = m.agg(F.min("engine").alias("a"), F.max("engine").alias("b"))
-    k = m.join(F.broadcast(ends))  # one row
-    l, r = (k.where(F.col("engine") == F.col(c)).select("case_id", "repeat_index").distinct().withColumn("t", F.lit("x")) for c in ("a", "b"))
-    s = E.compare_runs(l, r, ["case_id", "repeat_index"], "t")
-    return s.select(F.when(F.col("status") == "same", "both").otherwise(F.col("status")).alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Repeats that each two engines have in common, and those of one alone."""
+    x = E.measured(bench).select("engine", "case_id", "repeat_index").distinct()
+    k = E.twos(x, "engine")
+    left, right = (k.join(x, F.col("engine") == F.col(s)).select("a", "b", "case_id", "repeat_index", F.lit("x").alias("t")) for s in ("a", "b"))
+    s = E.compare_runs(left, right, ["a", "b", "case_id", "repeat_index"], "t")
+    return s.groupBy("a", "b", F.when(F.col("status") == "same", "both").otherwise(F.col("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stt_bench", sql=f"{_M} SELECT engine, schema_version, count(*) AS n, count(DISTINCT phase) AS phases FROM stt_bench GROUP BY engine, schema_version")

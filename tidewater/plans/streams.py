@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.plans import registry
-from tidewater.session import materialize, shared_dir, ship, table
+from tidewater.session import shared_dir, ship, table, written
 from tidewater.streaming import folds, queries
 
 
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A stream over a table."""
-    path = materialize(df, "stream").inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).parquet(written(df, "stream"))
 
 
 def _run(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -27,10 +26,10 @@ def _run(df: DataFrame, mode: str = "append") -> DataFrame:
         q = w.format("parquet").option("path", f"{at}/out").start()
         q.awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{at}/out")
-    name = "t" + uuid.uuid4().hex
-    q = w.format("memory").queryName(name).start()
+    # Each batch gives the whole result; the last one stays.
+    q = w.foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(f"{at}/out-{i}")).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{at}/out-{q.lastProgress['batchId']}")
 
 
 def _query(f, name: str, sql: str | None = None) -> None:

@@ -50,11 +50,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where
-    that is unset (tests, one machine) is a temporary folder used."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only where that
+    is unset on a single machine (tests) is a temporary folder used; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _written:
         _written[key] = []
@@ -76,9 +79,9 @@ def _drop(spark: SparkSession, paths: list[str]) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back. This cuts the lineage
-    and survives the loss of executors; the files go when the driver ends."""
+def written(df: DataFrame, name: str = "cut") -> str:
+    """Write ``df`` as Parquet into the shared folder; gives the path. The files go when the
+    driver ends or with :func:`drop_written`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
     key = spark.sparkContext.applicationId
@@ -88,8 +91,27 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
         atexit.register(_drop, spark, _written[key])
     _written[key].append(path)
     df.write.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` written into the shared folder and read back. This cuts the lineage and survives
+    the loss of executors."""
     # The columns are known: no job is needed to read them from a file.
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove what was written so far, in a long session; results that read it must be done."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    _drop(spark, paths)
+    paths.clear()
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the Hadoop API: any store the cluster knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def parallelism(spark: SparkSession) -> int:
