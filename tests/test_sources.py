@@ -21,6 +21,41 @@ def test_json_lines(spark, tmp_path):
     assert readers.last_line(spark, str(p)).first().locator == 5
 
 
+def test_lines_of_a_file_in_blocks(spark, tmp_path):
+    """A file of several blocks keeps its line numbers; carriage returns go."""
+    body = [f"line {i} " + "x" * (i % 37) for i in range(5000)]
+    (tmp_path / "a.txt").write_bytes("\r\n".join(body).encode())
+    (tmp_path / "b.txt").write_text("one\ntwo\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = readers.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.locator, r.text) for r in got if r.path.endswith("a.txt")} == {(i + 1, t) for i, t in enumerate(body)}
+    assert sorted((r.locator, r.text) for r in got if r.path.endswith("b.txt")) == [(1, "one"), (2, "two")]
+
+
+def test_contracts(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_text('{"id": "x", "schema_version": 1, "t": " "}\n{"id": "y", "schema_version": 2}\n5\n')
+    assert {(r.locator, r.problem) for r in readers.field_problems(readers.json_lines(spark, str(p)), ["id", "t"], ["l"]).collect()} == {(1, "t:blank"), (1, "l:missing"), (2, "t:missing"), (2, "l:missing"), (3, "not_object")}
+    p.write_text('{"id": "x", "schema_version": 1, "z": 1}\n{"id": "y", "schema_version": 2}\n')
+    with pytest.raises(readers.SourceError, match="schema_version 2 isn't 1"):
+        readers.versioned(spark, str(p), "id string, schema_version int", 1)
+    with pytest.raises(readers.SourceError, match="isn't one of"):
+        readers.listed(spark, str(p), ["b.jsonl"], ["id"])
+    assert readers.listed(spark, str(p), ["a.jsonl"], ["id"]).columns == ["id"]
+    assert readers.any_rows(spark, str(p), ["z"]).count() == 1
+    d = spark.createDataFrame([("a", ""), ("b", "x")], "id string, raw string")
+    with pytest.raises(readers.SourceError, match="a: blank"):
+        readers.checked(d, {"blank": F.col("raw") == ""})
+    with pytest.raises(readers.SourceError, match="b: repeated"):
+        readers.checked(d.union(d.where("id = 'b'")), {})
+    paths = spark.createDataFrame([("s:data/train-1.json:3",), ("s:data/hold/x.json:1",), ("s:z",), (None,)], "ref string")
+    assert [r.problem for r in readers.path_problems(paths, "ref", ["hold/*"], ["data/*"]).collect()] == [None, "held_out", "malformed", "malformed"]
+
+
 def test_strict_types(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"id": "x", "n": 1}\n{"id": "y"}\n')
@@ -128,8 +163,12 @@ def test_sinks(spark, tmp_path):
     files = sinks.stream(d, str(tmp_path / "s"), "id", "1", "row").collect()
     assert all(len(f.sha256) == 64 for f in files)
     assert sorted(r.stream_id for r in spark.read.json(str(tmp_path / "s")).collect()) == ["row-000000001", "row-000000002"]
-    sinks.report({"b": 1, "a": 2}, str(tmp_path / "rep.json"))
+    sinks.report(spark, {"b": 1, "a": 2}, str(tmp_path / "rep.json"))
     assert json.loads((tmp_path / "rep.json").read_text()) == {"a": 2, "b": 1}
     with pytest.raises(FileExistsError):
-        sinks.require_empty(str(tmp_path))
+        sinks.require_empty(spark, str(tmp_path))
+    sinks.require_empty(spark, str(tmp_path / "new"))
+    assert sinks.append_new(d, str(tmp_path / "new")) == 2 and sinks.append_new(d.union(spark.createDataFrame([("c", 1, "x")], d.schema)), str(tmp_path / "new")) == 1
+    assert sinks.json_lines(d, str(tmp_path / "n")) == 2 and sinks.show_table(d.orderBy("id"), ["id"], 1) == "id\na\n... more than 1 rows"
+    assert readers.data_manifest(spark, str(tmp_path / "new"), "outcome").agg(F.sum("records")).first()[0] == 3
     assert sinks.show_table(d.orderBy("id"), ["id", "n"]) == "id\tn\na\t-\nb\t2"

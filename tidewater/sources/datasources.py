@@ -1,4 +1,4 @@
-"""Python data sources: numbered lines, worksheets, paged rows."""
+"""Python data sources: worksheets, paged rows."""
 
 from __future__ import annotations
 
@@ -27,31 +27,6 @@ def _files(options: dict) -> list[str]:
     return out
 
 
-class LinesSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "tidewater_lines"
-
-    def schema(self) -> str:
-        return "path string, locator bigint, text string"
-
-    def reader(self, schema):
-        return _Lines(self.options)
-
-
-class _Lines(DataSourceReader):
-    def __init__(self, options):
-        self.options = dict(options)
-
-    def partitions(self):
-        return [_File(p) for p in _files(self.options)]
-
-    def read(self, part) -> Iterator[tuple]:
-        with open(part.path, encoding="utf-8", errors="replace", newline="\n") as f:
-            for i, line in enumerate(f, 1):
-                yield part.path, i, line.rstrip("\r\n")
-
-
 # Namespaces of the workbook format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
