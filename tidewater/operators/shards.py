@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
@@ -91,6 +91,25 @@ def runs(results: DataFrame, label: str | None = None) -> DataFrame:
     return results.withColumn("run_label", F.when(several, F.concat_ws(":", base, F.coalesce("prompt_variant", F.lit("default")))).otherwise(base))
 
 
+def run_specs(spark: SparkSession, specs: Sequence[str]) -> DataFrame:
+    """Results of several files, each given as ``[LABEL=]PATH``, with the label of their run; a
+    label may be given once only. Without a label the run's source names it."""
+    seen: set[str] = set()
+    out = None
+    for spec in specs:
+        label, sep, path = spec.partition("=")
+        if not sep or "/" in label:
+            label, path = "", spec
+        if label in seen and label:
+            raise ShardError(f"the label {label} is given twice")
+        seen.add(label)
+        d = runs(spark.read.json(path, primitivesAsString=True), label or None)
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise ShardError("no result is given")
+    return out
+
+
 def text_free(cases: DataFrame, columns: Sequence[str] = ("id", "raw", "categories")) -> DataFrame:
     """Only the named columns of cases: what a device may see."""
     return cases.select(*columns)
