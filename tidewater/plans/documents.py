@@ -126,13 +126,26 @@ def doc_exact_components(docs: DataFrame) -> DataFrame:
     return n.join(g, "norm", "left").select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("component")).alias("component"))
 
 
-@query("documents")
+@query(
+    "documents",
+    sql=f"""
+WITH RECURSIVE k AS (SELECT doc_id AS key, text AS t FROM documents WHERE doc_id IS NOT NULL),{S.NEAR}
+SELECT key AS doc_id, component FROM comp""",
+)
 def doc_near_components(docs: DataFrame) -> DataFrame:
     """Documents that are equal or near each other, as components."""
     return dedup.text_groups(docs, "doc_id", "text").select(F.col("key").alias("doc_id"), "component")
 
 
-@query("documents")
+@query(
+    "documents",
+    sql=f"""
+WITH n AS (SELECT doc_id, {S.normalized('text')} AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS component FROM n WHERE norm <> '' GROUP BY norm), c AS (SELECT doc_id, coalesce(component, doc_id) AS component FROM n LEFT JOIN g USING (norm)),
+d AS (SELECT component, count(*) AS n, bit_xor(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) AS x FROM c GROUP BY component),
+s AS (SELECT component, CASE WHEN {S.hash64("'23:' || n || ':' || x")} < CAST(1844674407370955264 AS UBIGINT) THEN 'dev' ELSE 'train' END AS split FROM d)
+SELECT doc_id, component, split FROM c JOIN s USING (component)""",
+)
 def doc_component_split(docs: DataFrame) -> DataFrame:
     """Components of equal documents, a tenth of them for development."""
     g = doc_exact_components(docs).withColumnRenamed("doc_id", "key")

@@ -62,3 +62,19 @@ measured AS (
     FROM stt_bench WHERE phase = 'measured' AND engine IS NOT NULL AND run_id IS NOT NULL AND case_id IS NOT NULL AND repeat_index IS NOT NULL
   ) WHERE rn = 1
 )"""
+
+
+# Components over near texts of k (key, t): equal folded texts, and pairs that reach one of the three
+# thresholds where their word 3-grams are similar to 0.4 or the shorter one has at most 64 characters.
+NEAR = f"""w AS (SELECT key, {words('t')} AS w FROM k), n AS (SELECT key, array_to_string(w, ' ') AS norm, w FROM w),
+u AS (SELECT norm, min(key) AS key, any_value(w) AS w FROM n WHERE norm <> '' GROUP BY norm),
+g AS (SELECT key, norm, {ngrams('w', 3)} AS g3, CASE WHEN length(norm) >= 5 THEN list_distinct(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) ELSE [norm] END AS g5 FROM u),
+x3 AS (SELECT key, len(g3) AS n, unnest(g3) AS g FROM g), c3 AS (SELECT a.key AS a, b.key AS b FROM x3 a JOIN x3 b ON a.g = b.g AND a.key < b.key GROUP BY a.key, b.key, a.n, b.n HAVING count(*) >= 0.4 * (a.n + b.n - count(*))),
+short AS (SELECT a.key AS a, b.key AS b FROM g a JOIN g b ON a.key < b.key AND least(length(a.norm), length(b.norm)) <= 64 AND greatest(length(a.norm), length(b.norm)) <= 85),
+c AS (SELECT * FROM c3 UNION SELECT * FROM short),
+s AS (SELECT c.a, c.b, len(list_intersect(x.g3, y.g3)) AS i3, len(x.g3) AS n3, len(y.g3) AS m3, len(list_intersect(x.g5, y.g5)) AS i5, len(x.g5) AS n5, len(y.g5) AS m5, x.norm AS p, y.norm AS q
+  FROM c JOIN g x ON x.key = c.a JOIN g y ON y.key = c.b),
+near AS (SELECT a, b FROM s WHERE i3 >= 0.8 * (n3 + m3 - i3) OR i5 >= 0.8 * (n5 + m5 - i5) OR levenshtein(p, q) <= floor(0.1 * greatest(length(p), length(q)) + 1e-9)),
+e AS (SELECT a, b FROM near UNION SELECT u.key, n.key FROM n JOIN u USING (norm) WHERE n.key <> u.key), links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT key AS x, key AS y FROM k UNION SELECT r.x, e.b FROM reach r JOIN links e ON r.y = e.a),
+comp AS (SELECT x AS key, min(y) AS component FROM reach GROUP BY x)"""

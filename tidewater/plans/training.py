@@ -16,6 +16,18 @@ from tidewater.session import materialize
 _CORPUS = r"regexp_replace(regexp_replace(lower(trim(source_id)), '[\s_\-]+', '_', 'g'), '_(mirror|v[0-9]+)$', '')"
 
 
+def _unit(text: str) -> str:
+    """The order of ``unit_hash`` over a text expression, salt and separators included."""
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
+
+
+_USABLE = f"NOT {S.blank('raw')} AND NOT {S.blank('expected')}"
+#: Records of the pairs in shards, in the order of a hash, with the words of their input.
+_SHARDED = f"""
+x AS (SELECT id, len({S.words('raw')}) AS n, CAST({S.hash64('id')} % 16 AS INTEGER) AS shard, substr(sha256(id), 1, 32) AS o FROM train_sotto_lfm WHERE {_USABLE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o) AS k, CAST(greatest(900, ceil(n * 1.5)) AS INTEGER) AS cap FROM x)"""
+
+
 def _corpus() -> F.Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim("source_id")), r"[\s_\-]+", "_"), r"_(mirror|v[0-9]+)$", "")
 
@@ -155,21 +167,38 @@ def train_contamination(train: DataFrame, heldout: DataFrame) -> DataFrame:
     return dedup.contaminated(train, "id", ("raw", "expected"), dedup.frozen_surfaces(heldout))
 
 
-@query("train_sotto_lfm")
+@query(
+    "train_sotto_lfm",
+    sql=f"""
+WITH RECURSIVE k AS (SELECT id AS key, concat_ws(chr(10), raw, expected) AS t FROM train_sotto_lfm WHERE id IS NOT NULL),{S.NEAR}
+SELECT component, count(*) AS records FROM comp GROUP BY component HAVING count(*) > 1""",
+)
 def train_near_components(train: DataFrame) -> DataFrame:
     """Components over equal pairs and near ones."""
     t = train.withColumn("both", F.concat_ws("\n", "raw", "expected"))
     return dedup.text_groups(t, "id", "both").groupBy("component").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
 
 
-@query("train_sotto_lfm")
+@query(
+    "train_sotto_lfm",
+    sql=f"""
+WITH t AS (SELECT id, sha256({S.normalized('expected')}) AS family FROM train_sotto_lfm WHERE id IS NOT NULL AND expected IS NOT NULL),
+f AS (SELECT family, count(*) AS n, {_unit("'17' || chr(31) || family")} AS u FROM t GROUP BY family),
+p AS (SELECT family, coalesce(sum(n) OVER (ORDER BY u, family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM f)
+SELECT id, CASE WHEN before < round_even(total * 0.8, 0) THEN 'train' WHEN before < round_even(total * 0.9, 0) THEN 'dev' ELSE 'test' END AS split FROM t JOIN p USING (family)""",
+)
 def train_grouped_split(train: DataFrame) -> DataFrame:
     """Records of one target stay together; 80 / 10 / 10 by whole families."""
     t = train.where("id IS NOT NULL AND expected IS NOT NULL")
     return sample.grouped_split(t, "id", F.sha2(T.normalized_text("expected"), 256), {"train": 0.8, "dev": 0.1, "test": 0.1}, "17").select(F.col("key").alias("id"), "split")
 
 
-@query("train_sotto_lfm")
+@query(
+    "train_sotto_lfm",
+    sql=f"""
+WITH x AS (SELECT id, {_CORPUS} AS source_id, row_number() OVER (ORDER BY {_unit("'5' || chr(31) || id")}, id) AS ordinal FROM train_sotto_lfm WHERE {_USABLE})
+SELECT id, source_id, ordinal, 'stream-' || lpad(CAST(ordinal AS VARCHAR), 9, '0') AS stream_id FROM x""",
+)
 def train_single_pass(train: DataFrame) -> DataFrame:
     """Every usable row once in the order of a hash, numbered."""
     return sample.single_pass(_pairs(train).select("id", "source_id"), "id", "5", "stream").select("id", "source_id", "ordinal", "stream_id")
@@ -207,7 +236,18 @@ def train_files(train: DataFrame) -> DataFrame:
     return t.groupBy("file").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("source_id").alias("sources"), F.count_if(F.col("file").like("data/train-%")).alias("in_train"))
 
 
-@query("train_sotto_lfm")
+@query(
+    "train_sotto_lfm",
+    sql=f"""
+WITH RECURSIVE {_SHARDED.strip()},
+p AS (
+  SELECT shard, k, n, 0 AS pack, n AS used FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.shard, r.k, r.n, CASE WHEN p.used > 0 AND p.used + r.n > 512 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.used > 0 AND p.used + r.n > 512 THEN r.n ELSE p.used + r.n END
+  FROM p JOIN r ON r.shard = p.shard AND r.k = p.k + 1
+), one AS (SELECT shard, pack, count(*) AS rows, sum(n) AS tokens FROM p GROUP BY shard, pack)
+SELECT count(*) AS packs, sum(rows) AS examples, sum(tokens) AS tokens, max(tokens) AS fullest, sum(tokens) / (count(*) * 512) AS utilization FROM one""",
+)
 def train_packing(train: DataFrame) -> DataFrame:
     """Records packed into sequences of 512 words in the order of a hash, shard by shard."""
     t = _pairs(train).select("id", F.size(T.lexical_tokens("raw")).alias("length"))
@@ -215,7 +255,19 @@ def train_packing(train: DataFrame) -> DataFrame:
     return folds.packing_report(folds.packed(t, "length", 512), "length", 512)
 
 
-@query("train_sotto_lfm")
+@query(
+    "train_sotto_lfm",
+    sql=f"""
+WITH RECURSIVE {_SHARDED.strip()},
+p AS (
+  SELECT shard, k, n, cap, 0 AS batch, 1 AS rows, n AS longest FROM r WHERE k = 1
+  UNION ALL
+  SELECT shard, k, n, cap, batch + new, CASE WHEN new = 1 THEN 1 ELSE rows + 1 END, CASE WHEN new = 1 THEN n ELSE greatest(longest, n) END FROM (
+    SELECT r.shard, r.k, r.n, r.cap, p.batch, p.rows, p.longest, CASE WHEN r.cap <> p.cap OR p.rows >= 16 OR greatest(p.longest, r.n) * (p.rows + 1) > 2048 THEN 1 ELSE 0 END AS new
+    FROM p JOIN r ON r.shard = p.shard AND r.k = p.k + 1)
+)
+SELECT shard, CAST(batch AS BIGINT) AS batch, count(*) AS rows, CAST(max(n) AS INTEGER) AS longest, max(cap) AS cap FROM p GROUP BY shard, batch""",
+)
 def train_batches(train: DataFrame) -> DataFrame:
     """Records batched by equal caps, at most 16 rows and 2,048 padded words."""
     t = _pairs(train).select("id", F.size(T.lexical_tokens("raw")).alias("length"))
