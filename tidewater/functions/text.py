@@ -59,7 +59,8 @@ def char_ngrams(text: C, n: int) -> Column:
     """Distinct character n-grams of a text, with the same rule for short ones."""
     t = col(text)
     size = F.char_length(t)
-    many = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(t, i, n))
+    # A look-ahead at every place: one pass over the text, which has no index of its characters.
+    many = F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
     return F.when(size >= n, F.array_distinct(many)).when(size > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 

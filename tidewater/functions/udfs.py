@@ -69,6 +69,30 @@ def lexical_additions(raw: pd.Series, expected: pd.Series) -> pd.Series:
     return _each(pytext.additions, raw, expected)
 
 
+FEATURES = StructType()
+for _name in ("raw_words", "expected_words", "raw_anchors", "expected_anchors", "expected_names", "added"):
+    FEATURES = FEATURES.add(_name, TEXTS)
+
+
+@F.pandas_udf(FEATURES)
+def pair_features(raw: pd.Series, expected: pd.Series) -> pd.DataFrame:
+    """Words, literals, names and added words of pairs in one pass; each is null where a text it
+    needs is null. Repeated texts of a batch are cut once."""
+    has = lambda x: isinstance(x, str)
+    one: dict[str, tuple] = {}
+    both: dict[tuple[str, str], list[str]] = {}
+    rows = []
+    for r, e in zip(raw, expected):
+        for t in (r, e):
+            if has(t) and t not in one:
+                one[t] = (pytext.nfc_words(t), pytext.protected_anchors(t), pytext.names(t))
+        if has(r) and has(e) and (r, e) not in both:
+            both[r, e] = pytext.additions(r, e)
+        a, b = (one[t] if has(t) else (None, None, None) for t in (r, e))
+        rows.append((a[0], b[0], a[1], b[1], b[2], both.get((r, e))))
+    return pd.DataFrame(rows, columns=FEATURES.names)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(pytext.sequence_ratio, a, b).astype(float)

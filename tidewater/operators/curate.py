@@ -56,16 +56,8 @@ def operation(raw: Column | str, expected: Column | str) -> Column:
 
 def with_text_features(df: DataFrame, raw: str = "raw", expected: str = "expected") -> DataFrame:
     """The words of both texts and the literals to protect: one Arrow pass for all of them."""
-    return df.withColumns(
-        {
-            "raw_words": udfs.nfc_words(raw),
-            "expected_words": udfs.nfc_words(expected),
-            "raw_anchors": udfs.protected_anchors(raw),
-            "expected_anchors": udfs.protected_anchors(expected),
-            "expected_names": udfs.name_anchors(expected),
-            "added": udfs.lexical_additions(raw, expected),
-        }
-    )
+    d = df.withColumn("__f", udfs.pair_features(raw, expected))
+    return d.withColumns({c: F.col(f"__f.{c}") for c in udfs.FEATURES.names}).drop("__f")
 
 
 def classified(df: DataFrame, raw: str = "raw", expected: str = "expected", source: str = "source_id", label: str = "label") -> DataFrame:

@@ -336,3 +336,25 @@ def train_masked_numbers(train: DataFrame) -> DataFrame:
     """Targets with their entities masked, where these can only be numbers."""
     plain = ~F.coalesce("expected", F.lit("")).rlike(r"[A-Z/\\@.:-]|[^\x00-\x7F]|[A-Za-z][0-9]|[0-9][A-Za-z]|_")
     return train.where(plain).select("id", T.masked_entities(F.coalesce("expected", F.lit("")), L.ENTITY_MIXTURE).alias("masked"))
+
+
+_CUT = "list_transform(range(1, length({0}) - 3), lambda i: substr({0}, i, 5))"
+
+
+def _sets(c: str, source: str) -> str:
+    return f"""SELECT {c}, norm, masked, w, {S.ngrams('w', 3)} AS g3, CASE WHEN length(norm) >= 5 THEN list_distinct({_CUT.format('norm')}) ELSE [norm] END AS g5
+FROM (SELECT {c}, {S.words('s')} AS w, array_to_string({S.words('s')}, ' ') AS norm, array_to_string({S.words("regexp_replace(s, '[0-9]+', ' ENTITY ', 'g')")}, ' ') AS masked FROM {source}) WHERE norm <> ''"""
+
+
+@query("heldout_cases", sql=f"""
+WITH h AS (SELECT DISTINCT id AS item, unnest([raw, expected]) AS s FROM heldout_cases), f AS ({_sets('item', "(SELECT * FROM h WHERE s IS NOT NULL AND trim(s) <> '')")}),
+v AS (SELECT DISTINCT id, unnest([regexp_replace(raw, '^[^ ]+ ', ''), upper(expected)]) AS s FROM heldout_cases), r AS ({_sets('id', "(SELECT * FROM v WHERE s IS NOT NULL)")}),
+p AS (SELECT r.id, f.item, r.norm = f.norm AS exact, r.masked = f.masked AND len(string_split(r.masked, ' ')) >= 4 AS masked, len(list_intersect(r.g3, f.g3)) AS i3, len(r.g3) + len(f.g3) AS n3, len(list_intersect(r.g5, f.g5)) AS i5, len(r.g5) + len(f.g5) AS n5 FROM r, f),
+o AS (SELECT id, item, unnest([CASE WHEN exact THEN 'exact' END, CASE WHEN masked THEN 'masked' END, CASE WHEN i3 >= 0.8 * (n3 - i3) THEN 'token3' WHEN i5 >= 0.8 * (n5 - i5) THEN 'char5' END]) AS rule FROM p)
+SELECT DISTINCT id, item, rule FROM o WHERE rule IS NOT NULL""")
+def heldout_variants(heldout: DataFrame) -> DataFrame:
+    """Frozen texts changed a little, against the frozen texts: every rule but that of edits."""
+    from tidewater.operators import dedup
+
+    v = heldout.select("id", F.regexp_replace("raw", "^[^ ]+ ", "").alias("raw"), F.upper("expected").alias("expected"))
+    return dedup.contaminated(v, "id", ("raw", "expected"), dedup.frozen_surfaces(heldout), dedup.Thresholds(0.8, 0.8, 1.1), "[0-9]+").select(F.col("key").alias("id"), "item", "rule")
