@@ -180,21 +180,28 @@ class _Walk:
                 todo += [(f"{key}/{i}", v) for i, v in reversed(list(enumerate(x)))]
 
 
+def leaves(text: str) -> tuple[list[str], list[float]]:
+    """Numeric leaves of a JSON object: dotted paths and values, in the order of the names."""
+    names: list[str] = []
+    values: list[float] = []
+    try:
+        todo = [("", json.loads(text))]
+    except ValueError:
+        return names, values
+    while todo:
+        key, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{key}.{k}" if key else k, v) for k, v in sorted(x.items(), reverse=True)]
+        elif isinstance(x, (int, float)) and not isinstance(x, bool) and key:
+            names.append(key)
+            values.append(float(x))
+    return names, values
+
+
 class _Leaves:
     def eval(self, text):
-        """Numeric leaves of a JSON object by dotted path, in the order of the names."""
-        if text is None:
-            return
-        try:
-            todo = [("", json.loads(text))]
-        except ValueError:
-            return
-        while todo:
-            key, x = todo.pop()
-            if isinstance(x, dict):
-                todo += [(f"{key}.{k}" if key else k, v) for k, v in sorted(x.items(), reverse=True)]
-            elif isinstance(x, (int, float)) and not isinstance(x, bool) and key:
-                yield key, float(x)
+        """As :func:`leaves`, a row for each."""
+        yield from zip(*leaves(text)) if text is not None else ()
 
 
 chunk_transcript = F.udtf(_Chunks, returnType=CHUNK, useArrow=True)

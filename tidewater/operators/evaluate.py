@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,13 +164,20 @@ def near_ceil_rank(c: str, p: float) -> Column:
     return _sorted_at(c, F.greatest(F.floor(F.count(c) * F.lit(p) + F.lit(0.999999)), F.lit(1)))
 
 
+def counted(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``(by, value, m)``: how many rows of each group have each value, written; null is a value."""
+    return materialize(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("m")), "counted")
+
+
 def cumulated(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``(by, value, m, upto, n)``: the distinct values of each group, how many rows have each, how
     many have it or a smaller one, and all rows of the group. Values are range-partitioned and
     summed within their partition; the sums of the partitions before are added, of which a group
-    has as many as partitions it spans. Null values are left out."""
+    has as many as partitions it spans. Null values are left out. Rows that are :func:`counted`
+    aren't counted again."""
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
+    counts = df if "m" in df.columns else df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.where(F.col(value).isNotNull())
     d = counts.repartitionByRange(*by, value).withColumn("__p", F.spark_partition_id())
     d = materialize(d, "ranges")
     part = d.groupBy(*by, "__p").agg(F.sum("m").alias("__s"))
@@ -224,16 +233,36 @@ def _beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
 def timing_summary(rows: DataFrame, by: Sequence[str], metric: str = "metric", value: str = "value") -> DataFrame:
     """Count, extremes, median, nearest-rank p95 and mean for each metric, of groups of any size."""
     by = [*by, metric]
-    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
-    ranked = percentiles_exact(rows, by, value, {"p95": 0.95}, {"median": 0.5}).drop("n")
+    c = counted(rows, by, value)
+    n = F.sum(F.when(F.col(value).isNotNull(), F.col("m")).otherwise(0))
+    plain = c.groupBy(*by).agg(n.alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.try_divide(F.sum(F.col(value) * F.col("m")), n).alias("mean"))
+    ranked = percentiles_exact(c, by, value, {"p95": 0.95}, {"median": 0.5}).drop("n")
     return _beside(plain, ranked, by)
 
 
 def flat_timings(results: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """A row for each numeric leaf of ``timings``."""
-    spark = results.sparkSession
-    udfs.register(spark)
-    return results.select(*keep, "timings").lateralJoin(udfs.json_leaves(F.col("timings").outer())).select(*keep, "metric", "value")
+    """A row for each numeric leaf of ``timings``, with the columns ``keep``. A batch's texts are
+    parsed at once; repeated texts of a batch only once."""
+    keep = list(keep)
+    kinds = {f.name: f.dataType.simpleString() for f in results.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known: dict[str, tuple[list[str], list[float]]] = {}
+            at, names, values = [], [], []
+            for i, t in enumerate(b["timings"]):
+                if not isinstance(t, str):
+                    continue
+                if t not in known:
+                    known[t] = udfs.leaves(t)
+                k, v = known[t]
+                at += [i] * len(k)
+                names += k
+                values += v
+            yield b[keep].iloc[at].assign(metric=names, value=np.array(values, float))
+
+    head = "".join(f"{c} {kinds[c]}, " for c in keep)
+    return results.select(*keep, "timings").mapInPandas(run, f"{head}metric string, value double")
 
 
 # ---- speech -----------------------------------------------------------------------------
@@ -265,6 +294,7 @@ def word_errors(m: DataFrame) -> DataFrame:
 def speech_latency(m: DataFrame) -> DataFrame:
     """Latency and real-time factors of all measured rows for each engine, of any number."""
     v, r = "inference_duration_ms", "real_time_factor"
+    m = materialize(m.select("engine", "run_id", "case_id", v, r, "process_pss_kb_after_inference", "thermal_status_after_inference"), "measured")
     plain = m.groupBy("engine").agg(
         F.count(F.lit(1)).alias("runs"), F.countDistinct("run_id", "case_id").alias("cases"), F.max(v).alias("max_ms"),
         F.max("process_pss_kb_after_inference").alias("peak_pss_kb"), F.max("thermal_status_after_inference").alias("max_thermal"),
