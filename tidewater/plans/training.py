@@ -9,6 +9,7 @@ from tidewater.functions import lexicon as L
 from tidewater.functions import text as T
 from tidewater.operators import curate as C
 from tidewater.operators import dedup, folds, sample
+from tidewater.plans import classify_sql as K
 from tidewater.plans import fragments as S
 from tidewater.plans.registry import query
 from tidewater.session import materialize
@@ -94,13 +95,16 @@ def _classified(train: DataFrame) -> DataFrame:
     return C.declared_additions(C.classified(C.with_text_features(p)))
 
 
-@query("train_sotto_lfm")
+_CLASSIFIED = K.CLASSIFIED.strip().replace("{corpus}", _CORPUS)
+
+
+@query("train_sotto_lfm", sql=f"WITH {_CLASSIFIED}, o AS (SELECT src AS source_id, {K.OUTCOME} AS outcome, {K.REASON} AS reason FROM classified) SELECT source_id, outcome, reason, count(*) AS n FROM o GROUP BY ALL")
 def train_routing(train: DataFrame) -> DataFrame:
     """Candidates, quarantine and rejections by reason."""
     return C.routed(_classified(train)).groupBy("source_id", "outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("train_sotto_lfm")
+@query("train_sotto_lfm", sql=f"WITH {_CLASSIFIED}, o AS (SELECT 'category' AS kind, unnest(categories) AS tag FROM classified UNION ALL SELECT 'risk', unnest(risks) FROM classified) SELECT kind, tag, count(*) AS n FROM o GROUP BY ALL")
 def train_tag_counts(train: DataFrame) -> DataFrame:
     """Categories and risks of the classified pairs."""
     c = _classified(train)
@@ -108,14 +112,25 @@ def train_tag_counts(train: DataFrame) -> DataFrame:
     return c.select(F.inline(kinds)).select("kind", F.explode("tags").alias("tag")).groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("train_sotto_lfm")
+@query("train_sotto_lfm", sql=f"""WITH {_CLASSIFIED}, o AS (SELECT {K.BUCKET} AS bucket, {K.PROTECTED_FLAG} AS p, {K.ASKING_FLAG} AS a FROM classified)
+SELECT bucket, count(*) AS n, avg(CAST(p AS DOUBLE)) AS protected, avg(CAST(a AS DOUBLE)) AS asking FROM o GROUP BY bucket""")
 def train_buckets(train: DataFrame) -> DataFrame:
     """Primary buckets and the flags that cut across them."""
     c = _classified(train).select(C.bucket().alias("bucket"), C.crosscutting().alias("flags"))
     return c.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_contains("flags", "protected_literal").cast("double")).alias("protected"), F.avg(F.array_contains("flags", "must_not_answer_or_command_question").cast("double")).alias("asking"))
 
 
-@query("train_sotto_lfm")
+# Pool: of each bucket the first 88 rows by hash, and of those with the flag the first 44. Of a
+# bucket as many flagged rows as it has room for, of all of them 20, the rest by hash.
+@query("train_sotto_lfm", sql=f"""WITH {_CLASSIFIED}, o AS (SELECT id, {K.BUCKET} AS bucket, {K.PROTECTED_FLAG} AS flag FROM classified),
+b AS (SELECT * FROM o WHERE bucket IN ('filler_or_repetition', 'mixed_or_discourse') AND id IS NOT NULL),
+h AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256('23:candidate-pool:' || id), id) AS k, row_number() OVER (PARTITION BY bucket, flag ORDER BY sha256('23:candidate-pool:' || id), id) AS f FROM b),
+pool AS (SELECT id, bucket, flag FROM h WHERE k <= 88 OR (flag AND f <= 44)),
+x AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256('23:train:cross:' || id), id) AS k FROM pool WHERE flag),
+y AS (SELECT *, row_number() OVER (ORDER BY sha256('23:train:cross:' || id), id) AS k2 FROM x WHERE k <= 20), taken AS (SELECT id, bucket FROM y WHERE k2 <= 20),
+room AS (SELECT bucket, 20 - count(*) AS n FROM taken GROUP BY bucket),
+z AS (SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY sha256('23:train:fill:' || id), id) AS k FROM pool WHERE id NOT IN (SELECT id FROM taken))
+SELECT id, bucket FROM taken UNION ALL SELECT z.id, z.bucket FROM z LEFT JOIN room USING (bucket) WHERE z.k <= coalesce(room.n, 20)""")
 def train_quota_selection(train: DataFrame) -> DataFrame:
     """Exact quotas of two buckets with a minimum of one flag, out of a bounded pool."""
     c = materialize(_classified(train).select("id", C.bucket().alias("bucket"), C.crosscutting().alias("flags")), "pool")
