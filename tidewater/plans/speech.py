@@ -13,7 +13,26 @@ from tidewater.plans.registry import query
 _M = f"WITH {S.MEASURED.strip()}"
 
 
-@query("stt_bench")
+_SPOKEN = r"list_filter(string_split(regexp_replace(replace(replace(lower(nfc_normalize(coalesce({0}, ''))), '’', chr(39)), '‘', chr(39)), '[^\p{{L}}\p{{N}}\x27]', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+# A cell of the alignment is one number: errors, substitutions, insertions and deletions by their
+# weights, so the smallest number is the wanted alignment.
+@query(
+    "stt_bench",
+    sql=f"""WITH RECURSIVE {S.MEASURED.strip()},
+q AS (SELECT engine, run_id, case_id, {_SPOKEN.format('reference')} AS rw, {_SPOKEN.format('hypothesis')} AS hw FROM (SELECT *, row_number() OVER (PARTITION BY engine, run_id, case_id ORDER BY repeat_index) AS k FROM measured) WHERE k = 1),
+d AS (
+  SELECT engine, run_id, case_id, rw, hw, 0 AS i, list_transform(range(0, len(hw) + 1), lambda j: j * 1000001000) AS line FROM q
+  UNION ALL
+  SELECT engine, run_id, case_id, rw, hw, i, list_transform(range(0, len(c)), lambda j: list_min(list_transform(range(0, j + 1), lambda k: c[k + 1] + (j - k) * 1000001000))) FROM (
+    SELECT engine, run_id, case_id, rw, hw, i + 1 AS i,
+      list_transform(range(0, len(hw) + 1), lambda j: CASE WHEN j = 0 THEN line[1] + 1000000001 ELSE least(line[j + 1] + 1000000001, line[j] + CASE WHEN hw[j] = rw[i + 1] THEN 0 ELSE 1001000000 END) END) AS c
+    FROM d WHERE i < len(rw))
+), b AS (SELECT engine, len(rw) AS n, line[len(line)] % 1000000000 AS best FROM d WHERE i = len(rw)),
+t AS (SELECT engine, count(*) AS cases, CAST(sum(best // 1000000) AS BIGINT) AS substitutions, CAST(sum(best % 1000000 // 1000) AS BIGINT) AS insertions, CAST(sum(best % 1000) AS BIGINT) AS deletions, CAST(sum(n) AS BIGINT) AS reference_words FROM b GROUP BY engine)
+SELECT *, substitutions + insertions + deletions AS word_errors, CASE WHEN reference_words > 0 THEN (substitutions + insertions + deletions) / reference_words END AS wer FROM t""",
+)
 def stt_word_errors(bench: DataFrame) -> DataFrame:
     """Word error counts and rate for each engine."""
     return E.word_errors(E.measured(bench))

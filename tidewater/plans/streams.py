@@ -82,7 +82,19 @@ def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("user_id").agg(F.count_if(~F.col("undone")).alias("added"), F.count_if("undone").alias("undone"))
 
 
-_query(event_history, "stream_history")
+_query(
+    event_history,
+    "stream_history",
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS undo, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (
+  SELECT user_id, k, undo, CASE WHEN undo THEN 0 ELSE 1 END AS held, 0 AS undone FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.k, e.undo, CASE WHEN e.undo THEN greatest(s.held - 1, 0) ELSE least(s.held + 1, 5) END, CASE WHEN e.undo AND s.held > 0 THEN 1 ELSE 0 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1
+)
+SELECT user_id, count_if(NOT undo) AS added, CAST(sum(undone) AS BIGINT) AS undone FROM s GROUP BY user_id HAVING count_if(NOT undo) + sum(undone) > 0""",
+)
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
