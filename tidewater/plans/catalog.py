@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import contracts, documents, files, registry, results, speech, streams, training  # noqa: F401
+from tidewater.plans import contracts, documents, files, golden, registry, results, speech, streams, training  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

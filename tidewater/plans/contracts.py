@@ -278,12 +278,12 @@ def train_scalars(train: DataFrame) -> DataFrame:
 
 
 @query("events", sql="""
-WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY user_id)
-SELECT user_id, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)) AS rms, list_max(list_transform(v, lambda x: abs(x))) AS peak, len(list_filter(v, lambda x: abs(x) >= 50)) / len(v) AS clipping FROM s""")
+WITH s AS (SELECT event_id, list_transform(range(1, 9), lambda k: value * k) AS v FROM events WHERE value IS NOT NULL)
+SELECT event_id, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)) AS rms, list_max(list_transform(v, lambda x: abs(x))) AS peak, len(list_filter(v, lambda x: abs(x) >= 50)) / len(v) AS clipping FROM s""")
 def event_levels(events: DataFrame) -> DataFrame:
-    """Level of each user's values as samples."""
-    s = events.where("user_id IS NOT NULL AND value IS NOT NULL").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return s.select("user_id", T.rms("v").alias("rms"), T.peak("v").alias("peak"), T.clipping("v", 50).alias("clipping"))
+    """Level of eight samples made of each value."""
+    s = events.where("value IS NOT NULL").select("event_id", F.array(*[F.col("value") * k for k in range(1, 9)]).alias("v"))
+    return s.select("event_id", T.rms("v").alias("rms"), T.peak("v").alias("peak"), T.clipping("v", 50).alias("clipping"))
 
 
 @query("documents", sql="""
