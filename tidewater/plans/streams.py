@@ -106,3 +106,33 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _query(levels, "stream_levels")
 
+
+
+def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growing files, one a user: how much each gained since it was last seen."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_id", (F.col("event_id") * 3).alias("bytes"), F.lit("running").alias("status"))
+    g = _run(folds.folded(_stream(spark, e), "user_id", "event_id", folds.growth()))
+    return g.select("user_id", "bytes", "gained")
+
+
+_query(growth, "stream_growth", "SELECT user_id, event_id * 3 AS bytes, event_id * 3 - coalesce(lag(event_id * 3) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS gained FROM events WHERE user_id IS NOT NULL")
+
+
+def throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user, at most one in any 500 units of their number."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", F.col("event_id").alias("at_ms"), F.col("event_type").alias("text"))
+    return _run(folds.folded(_stream(spark, e), "user_id", "at_ms", folds.throttled(500))).select("user_id", "at_ms", "text")
+
+
+_query(
+    throttled,
+    "stream_throttled",
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL),
+s AS (
+  SELECT user_id, min(event_id) AS at_ms FROM e GROUP BY user_id
+  UNION ALL
+  SELECT s.user_id, (SELECT min(e.event_id) FROM e WHERE e.user_id = s.user_id AND e.event_id >= s.at_ms + 500) FROM s WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.event_id >= s.at_ms + 500)
+)
+SELECT s.user_id, s.at_ms, e.event_type AS text FROM s JOIN e ON e.user_id = s.user_id AND e.event_id = s.at_ms""",
+)

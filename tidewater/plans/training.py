@@ -23,9 +23,9 @@ def _unit(text: str) -> str:
 
 
 _USABLE = f"NOT {S.blank('raw')} AND NOT {S.blank('expected')}"
-#: Records of the pairs in shards, in the order of a hash, with the words of their input.
+#: Records of the pairs in shards, in the order of a hash, with the words of both their texts.
 _SHARDED = f"""
-x AS (SELECT id, len({S.words('raw')}) AS n, CAST({S.hash64('id')} % 16 AS INTEGER) AS shard, substr(sha256(id), 1, 32) AS o FROM train_sotto_lfm WHERE {_USABLE}),
+x AS (SELECT id, len({S.words('raw')}) + len({S.words('expected')}) AS n, CAST({S.hash64('id')} % 16 AS INTEGER) AS shard, substr(sha256(id), 1, 32) AS o FROM train_sotto_lfm WHERE {_USABLE}),
 r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o) AS k, CAST(greatest(900, ceil(n * 1.5)) AS INTEGER) AS cap FROM x)"""
 
 
@@ -265,7 +265,7 @@ SELECT count(*) AS packs, sum(rows) AS examples, sum(tokens) AS tokens, max(toke
 )
 def train_packing(train: DataFrame) -> DataFrame:
     """Records packed into sequences of 512 words in the order of a hash, shard by shard."""
-    t = _pairs(train).select("id", F.size(T.lexical_tokens("raw")).alias("length"))
+    t = _pairs(train).select("id", (F.size(T.lexical_tokens("raw")) + F.size(T.lexical_tokens("expected"))).alias("length"))
     t = sample.sharded(t, "id", 16).withColumn("ordinal", T.stable_hash("id", 32))
     return folds.packing_report(folds.packed(t, "length", 512), "length", 512)
 
@@ -285,7 +285,7 @@ SELECT shard, CAST(batch AS BIGINT) AS batch, count(*) AS rows, CAST(max(n) AS I
 )
 def train_batches(train: DataFrame) -> DataFrame:
     """Records batched by equal caps, at most 16 rows and 2,048 padded words."""
-    t = _pairs(train).select("id", F.size(T.lexical_tokens("raw")).alias("length"))
+    t = _pairs(train).select("id", (F.size(T.lexical_tokens("raw")) + F.size(T.lexical_tokens("expected"))).alias("length"))
     t = t.withColumn("cap", T.token_cap("length"))
     t = sample.sharded(t, "id", 16).withColumn("ordinal", T.stable_hash("id", 32))
     b = folds.batched(t, "length", "cap", 16, 2048)
