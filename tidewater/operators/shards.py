@@ -76,11 +76,12 @@ def ordered_digest(df: DataFrame, column: str, order: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = hashlib.sha256()
         for b in batches:
-            for t in b[column]:
+            for t in b["text"]:
                 h.update((t or "").encode() + b"\n")
         yield pd.DataFrame({"digest": [h.hexdigest()]})
 
-    return df.select(order, column).repartition(1).sortWithinPartitions(order).mapInPandas(run, "digest string")
+    d = df.select(F.col(order).alias("place"), F.col(column).alias("text"))
+    return d.repartition(1).sortWithinPartitions("place").mapInPandas(run, "digest string")
 
 
 def runs(results: DataFrame, label: str | None = None) -> DataFrame:

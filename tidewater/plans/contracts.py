@@ -358,3 +358,55 @@ def heldout_variants(heldout: DataFrame) -> DataFrame:
 
     v = heldout.select("id", F.regexp_replace("raw", "^[^ ]+ ", "").alias("raw"), F.upper("expected").alias("expected"))
     return dedup.contaminated(v, "id", ("raw", "expected"), dedup.frozen_surfaces(heldout), dedup.Thresholds(0.8, 0.8, 1.1), "[0-9]+").select(F.col("key").alias("id"), "item", "rule")
+
+
+@query("cleanup_cases", sql=f"WITH {_ONE}, r AS (SELECT id AS case_id, row_number() OVER (ORDER BY id) - 1 AS source_index FROM one) SELECT case_id, CAST(source_index AS BIGINT) AS source_index FROM r WHERE source_index >= 100")
+def case_remaining(cases: DataFrame) -> DataFrame:
+    """What is left of a shard whose first hundred cases are done."""
+    from tidewater.operators import shards
+    from tidewater.operators.prefix import global_rank
+
+    c = global_rank(_one(cases).select(F.col("id").alias("case_id")), "case_id", out="source_index")
+    return shards.remaining(c, c.where("source_index < 100").select("case_id")).select("case_id", "source_index")
+
+
+@query("train_sotto_lfm", sql="SELECT sha256(string_agg(id, chr(10) ORDER BY id) || chr(10)) AS digest FROM train_sotto_lfm WHERE id IS NOT NULL")
+def train_digest(train: DataFrame) -> DataFrame:
+    """A digest of all ids in order."""
+    from tidewater.operators import shards
+
+    return shards.ordered_digest(train.where("id IS NOT NULL"), "id", "id")
+
+
+@query("documents", sql=f"SELECT doc_id, {S.joined(S.words('nfc_normalize(text)'))} AS words FROM documents WHERE text IS NOT NULL AND NOT contains(text, 'ß')")
+def doc_nfc_words(docs: DataFrame) -> DataFrame:
+    """Words in composed form and folded case, where both foldings are one."""
+    from tidewater.functions import udfs
+
+    return docs.where(~F.contains("text", F.lit("ß"))).select("doc_id", F.array_join(udfs.nfc_words("text"), " ").alias("words"))
+
+
+@query("train_sotto_lfm", sql=f"""
+WITH t AS (SELECT id, regexp_replace({S.normalized('raw')}, '[^\\x00-\\x7F]', '~', 'g') AS a, regexp_replace({S.normalized('expected')}, '[^\\x00-\\x7F]', '~', 'g') AS b FROM train_sotto_lfm),
+m AS (SELECT *, greatest(length(a), length(b)) AS n FROM t)
+SELECT id, CASE WHEN n = 0 THEN 1.0 WHEN levenshtein(a, b) <= floor((1 - 0.5) * n + 1e-9) THEN 1 - levenshtein(a, b) / n ELSE 0.0 END AS alike FROM m""")
+def train_edit_similarity(train: DataFrame) -> DataFrame:
+    """How alike the texts of a pair are by edits, from one half on. Letters beyond ASCII are one,
+    as the other engine compares bytes."""
+    plain = lambda c: F.regexp_replace(T.normalized_text(c), r"[^\x00-\x7F]", "~")
+    return train.select("id", T.edit_similarity(plain("raw"), plain("expected"), 0.5).alias("alike"))
+
+
+@query("nation", sql="""
+WITH f AS (SELECT unnest(range(0, 60)) AS family), v AS (SELECT family, unnest([0, 1]) AS variant FROM f),
+w AS (SELECT *, ['send', 'keep', 'copy'][(family + 1) % 3 + 1] AS verb, ['plan', 'map', 'key', 'note'][(2 * family + 1 + variant) % 4 + 1] AS thing FROM v)
+SELECT CASE WHEN variant = 0 THEN 'uh ' || verb || ' the ' || thing ELSE verb || ' ' || verb || ' the ' || thing END AS raw, verb || ' the ' || thing || '.' AS expected,
+  'supplement-v1:demo:family-' || lpad(CAST(family AS VARCHAR), 4, '0') AS family_id, 'supplement-v1:demo:family-' || lpad(CAST(family AS VARCHAR), 4, '0') || ':variant-' || lpad(CAST(variant AS VARCHAR), 2, '0') AS source_ref,
+  CASE WHEN variant = 0 THEN 'uh' ELSE verb END AS first_word FROM w""")
+def generated_pairs(nation: DataFrame) -> DataFrame:
+    """Synthetic pairs: sixty families of two frames."""
+    from tidewater.operators import generate
+
+    frames = [generate.Frame("uh {verb} the {thing}", "{verb} the {thing}.", ("fillers",)), generate.Frame("{verb} {verb} the {thing}", "{verb} the {thing}.", ("repetition",))]
+    g = generate.pairs(nation.sparkSession, "demo", frames, 60, {"verb": ["send", "keep", "copy"], "thing*": ["plan", "map", "key", "note"]}, {"thing*": 2}, 1)
+    return g.select("raw", "expected", "family_id", "source_ref", F.get(F.split("raw", " "), F.lit(0)).alias("first_word"))
