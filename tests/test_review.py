@@ -131,3 +131,20 @@ def test_texts_of_no_words_and_repeats_in_near_pairs(spark):
     g = {r.key: r.component for r in dedup.text_groups(d, "id", "t").collect()}
     assert g[4] == g[5] == 4 and g[1] == 1 and g[2] == 2 and g[6] == 6 and len(g) == 7
     assert dedup.near_pairs(d.where("1 = 0"), "id", "t").count() == 0
+
+
+def test_texts_that_share_some_grams_are_no_candidates(spark):
+    """Of texts that have a sentence or two in common no pairs are written; similar ones stay."""
+    word = lambda i, k: f"{'abcdefghij'[i % 10]}{i * 31 + k}x"
+    texts = [" ".join([*(word(i, k) for k in range(40)), *(f"s{i % 7}w{k}" for k in range(8)), *(f"t{i % 5}w{k}" for k in range(8))]) for i in range(0, 400, 2)]
+    texts += [texts[0] + " more", texts[7].replace("s0w3", "other")]
+    f = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    got = rows(dedup.gram_pairs(f, dedup.word_grams, 0.4))
+    assert (0, 200) in got and (7, 201) in got and len(got) < 20
+
+
+def test_long_texts_need_common_words_to_be_near(spark):
+    a = "median latency moved from 8640 to 23 milliseconds once the receipt was cached"
+    b = "median latency moved from 8 to 66 milliseconds once the receipt was cached"
+    assert dedup.near_pairs(spark.createDataFrame([(1, a), (2, b)], "id long, t string"), "id", "t").count() == 0
+    assert dedup.near_pairs(spark.createDataFrame([(1, a), (2, a.replace("8640", "8641"))], "id long, t string"), "id", "t").count() == 1
