@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import session
 from tidewater.operators import curate, dedup, evaluate, review
 
 
@@ -148,3 +149,16 @@ def test_long_texts_need_common_words_to_be_near(spark):
     b = "median latency moved from 8 to 66 milliseconds once the receipt was cached"
     assert dedup.near_pairs(spark.createDataFrame([(1, a), (2, b)], "id long, t string"), "id", "t").count() == 0
     assert dedup.near_pairs(spark.createDataFrame([(1, a), (2, a.replace("8640", "8641"))], "id long, t string"), "id", "t").count() == 1
+
+
+def test_signatures_of_passes_leave_no_files(spark, monkeypatch):
+    """However many passes are made, the rarest grams and the pairs of the passes go from disk."""
+    texts = [" ".join(f"{c}{i % 70}" for c in "abcdefghij") + f" {i}" for i in range(300)]
+    f = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    want = rows(dedup.gram_pairs(f, dedup.word_grams, 0.4))
+    monkeypatch.setattr(dedup, "PASS", 30)
+    kept = session._written[spark.sparkContext.applicationId]
+    before = set(kept)
+    got = dedup.gram_pairs(f, dedup.word_grams, 0.4)
+    assert rows(got) == want and len(want) > 100
+    assert len(set(kept) - before) == 1
