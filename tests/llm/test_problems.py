@@ -2,8 +2,10 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +206,50 @@ def test_near_pairs_equal_brute_force(spark, monkeypatch, seed, tile):
     assert {r.id for r in g} == {i for p in want for i in p} and all(r.group_id <= r.id for r in g)
 
 
+def tiles_of(sets, num=7, den=10, tile=1 << 16, turns=1):
+    """What the tiles of the sets find, without Spark, and the pairs that are looked at."""
+    keys = [i * 7919 << 4 | 5 for i in range(len(sets))]
+    counts = np.bincount(np.concatenate(sets) % 4096, minlength=4096)
+    budget = trie.Budget(num, den)
+    classes = pd.DataFrame({"key": keys, "words": [np.array(sorted(x), np.int64) for x in sets]})
+    signed = list(neardup._signatures(SimpleNamespace(value=counts), budget)(iter([classes])))
+    found, visited = set(), 0
+    for turn in range(turns):
+        t = pd.concat(trie._tiled(budget, tile, turn, turns)(iter(signed))).sort_values("tile", kind="stable").reset_index(drop=True)
+        done = trie.Tiles(t, budget)
+        found |= set(map(tuple, done.pairs().to_numpy().tolist()))
+        visited += done.visited
+    return keys, found, visited
+
+
+@pytest.mark.parametrize("num,den,split,rest,tile,turns", [(7, 10, 96, 64, 1 << 16, 1), (7, 10, 3, 64, 1 << 16, 2), (7, 10, 3, 64, 30, 3), (1, 2, 3, 5, 1 << 16, 1), (9, 10, 2, 4, 20, 2)])
+def test_tiles_lose_no_pair(monkeypatch, num, den, split, rest, tile, turns):
+    monkeypatch.setattr(trie, "SPLIT", split)
+    monkeypatch.setattr(trie, "REST", rest)
+    rng = random.Random(split + tile)
+    vocab, sets = [rng.getrandbits(62) for _ in range(60)], []
+    for _ in range(300):
+        w = set(rng.choice(sets)) if sets and rng.random() < 0.6 else {rng.choice(vocab) for _ in range(rng.randint(1, 30))}
+        w = w - {rng.choice(vocab) for _ in range(4)} | {rng.choice(vocab)}
+        if w not in sets:
+            sets.append(w)
+    keys, got, _ = tiles_of([list(w) for w in sets], num, den, tile, turns)
+    want = {(keys[j], keys[i]) for i in range(len(sets)) for j in range(i) if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
+    assert len(want) > 20 and want <= got
+
+
+def test_sets_that_share_a_frequent_word_are_not_all_compared(monkeypatch):
+    rng = random.Random(9)
+    vocab = [rng.getrandbits(62) for _ in range(100)]
+    sets = [rng.sample(vocab, 20) for _ in range(4000)]
+    _, got, visited = tiles_of(sets)
+    monkeypatch.setattr(trie, "SPLIT", 1 << 30)
+    _, all_, whole = tiles_of(sets)
+    near = lambda a, b: 10 * len({*a} & {*b}) >= 7 * len({*a} | {*b})
+    real = lambda p: {(a, b) for a, b in p if near(sets[(a >> 4) // 7919], sets[(b >> 4) // 7919])}
+    assert visited < whole / 2 and real(got) == real(all_)
+
+
 def test_near_pairs_of_nothing(spark):
     assert neardup.near_pairs(spark.createDataFrame([], TRAIN)).count() == 0
     one = spark.createDataFrame([("a", "s", None, "word " * 100_000 + " b c d e f g h i", None, None, None)] * 2, TRAIN)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.wordcut import words
-from tidewater.llm.trie import SIGNED, Budget, signature_join
+from tidewater.llm.trie import DEPTH, SIGNED, Budget, signature_join
 from tidewater.operators.components import connected_components
 from tidewater.session import materialize
 
@@ -97,10 +97,9 @@ def prefix_lengths(s: int, num: int, den: int) -> tuple[int, int]:
     return min(s, s - least(s) + 1), min(s, s - least(-(-num * s // den)) + 1)
 
 
-def _signatures(counts_ref, num: int, den: int):
+def _signatures(counts_ref, budget: Budget):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = counts_ref.value
-        lengths: dict[int, tuple[int, int]] = {}
         for b in batches:
             if not len(b):
                 continue
@@ -113,24 +112,17 @@ def _signatures(counts_ref, num: int, den: int):
             order = np.lexsort((flat, seen, row))
             flat, seen = flat[order], seen[order]
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            for s in np.unique(n).tolist():
-                if s not in lengths:
-                    lengths[s] = prefix_lengths(s, num, den)
-            short, long = (np.array([lengths[s][k] for s in n.tolist()], np.int64)[row] for k in (0, 1))
-            # A word that one set alone has joins nothing.
-            keep = (pos < long) & (seen > 1)
-            at = row[keep]
-            yield pd.DataFrame(
-                {
-                    "sig": flat[keep],
-                    "key": b["key"].to_numpy()[at],
-                    "size": n[at].astype(np.int32),
-                    # Two words that only larger sets look at needn't meet.
-                    "probe": (pos >= short)[keep].astype(np.int8),
-                    "p0": halves[at, 0],
-                    "p1": halves[at, 1],
-                }
-            )
+            # With the words that may be the second or third shared one. A word that one set alone
+            # has joins nothing.
+            i = np.flatnonzero((pos < (budget.prefixes(n)[1] + DEPTH - 1)[row]) & (seen > 1))
+            at = np.searchsorted(row[i], np.arange(len(n) + 1)).tolist()
+
+            def packed(x: np.ndarray) -> list[bytes]:
+                whole, k = x.tobytes(), x.itemsize
+                return [whole[k * p : k * q] for p, q in zip(at, at[1:])]
+
+            out = {"key": b["key"], "size": n.astype(np.int32), "p0": halves[:, 0], "p1": halves[:, 1]}
+            yield pd.DataFrame(out | {"sigs": packed(flat[i]), "pos": packed(pos[i].astype(np.int32)), "seen": packed(np.minimum(seen[i], 2**31 - 1).astype(np.int32))})
 
     return emit
 
@@ -140,8 +132,8 @@ def class_pairs(classes: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
     Jaccard similarity is at least num/den."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(class_counts(classes))
-    signed = classes.select("key", "words").mapInPandas(_signatures(counts, num, den), SIGNED)
-    near = signature_join(signed, Budget(num, den))
+    budget = Budget(num, den)
+    near = signature_join(classes.select("key", "words").mapInPandas(_signatures(counts, budget), SIGNED), budget)
     left = classes.select(F.col("key").alias("a"), F.col("words").alias("wa"))
     right = classes.select(F.col("key").alias("b"), F.col("words").alias("wb"))
     both = near.join(left, "a").join(right, "b")
