@@ -1,10 +1,14 @@
 """Contracts between tables and reviews, on small and odd tables."""
 
+import functools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater import session
 from tidewater.operators import curate, dedup, evaluate, review
+from tidewater.plans import documents
 
 
 def rows(df):
@@ -162,3 +166,51 @@ def test_signatures_of_passes_leave_no_files(spark, monkeypatch):
     got = dedup.gram_pairs(f, dedup.word_grams, 0.4)
     assert rows(got) == want and len(want) > 100
     assert len(set(kept) - before) == 1
+
+
+def test_texts_of_other_words_are_near_by_characters_and_edits(spark, monkeypatch):
+    """Without a bound on common words every pair that reaches a threshold is found, in blocks of any size."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(3, 8)))
+
+    def edited(x, k):
+        x = list(x)
+        for p in sorted(rng.sample(range(len(x)), k), reverse=True):
+            x[p : p + 1] = rng.choice(([], [x[p], "z"], ["q"]))
+        return " ".join("".join(x).split())
+
+    texts = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(24)] + ["ab", "cd", "abcdefghij", "abcdefghix", "x " * 700 + "x", "x " * 702 + "x"]
+    texts += [edited(x, int(len(x) * share)) for x in texts[:24] for share in (0.06, 0.09, 0.1, 0.11)]
+    texts = sorted({*texts} - {""})
+
+    @functools.cache
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i] + [0] * len(y)
+            for j, e in enumerate(y, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != e))
+        return row[-1]
+
+    grams = lambda x, n: {tuple(x[i : i + n]) for i in range(max(1, len(x) - n + 1))}
+    sets = [(grams(x.split(), 3), grams(x, 5)) for x in texts]
+    want, far = set(), 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            alike = [len(p & q) / len(p | q) for p, q in zip(sets[i], sets[j])]
+            longest = max(len(texts[i]), len(texts[j]))
+            few = abs(len(texts[i]) - len(texts[j])) <= 0.1 * longest
+            if max(alike) >= 0.8 or (few and edits(texts[i], texts[j]) <= 0.1 * longest):
+                want.add((i, j))
+                far += alike[0] < 0.4 and min(len(texts[i]), len(texts[j])) > 64
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    assert {(r.a, r.b) for r in dedup.near_pairs(d, "id", "t", candidate=None).collect()} == want and far > 50
+    monkeypatch.setattr(dedup, "HELD", 10_000)
+    both = dedup.edit_pairs(d.select("id", F.col("t").alias("norm")), 0.9).collect()
+    assert len(both) == len({(r.a, r.b) for r in both}) and {(i, j) for i, j in want if edits(texts[i], texts[j]) <= 0.1 * max(len(texts[i]), len(texts[j]))} <= {(r.a, r.b) for r in both}
+
+
+def test_documents_need_no_common_words_to_be_near(spark):
+    a = "median latency moved from 8640 to 23 milliseconds once the receipt was cached"
+    d = spark.createDataFrame([(1, a), (2, a.replace("8640", "8").replace("23", "66")), (3, "an unrelated note")], "doc_id long, text string")
+    assert {r.doc_id: r.component for r in documents.doc_near_components(d).collect()} == {1: 1, 2: 1, 3: 3}
