@@ -611,3 +611,12 @@ def test_near_passages_meet(spark):
             met += (i, i) in found
     assert all_ > 150 and met >= 0.93 * all_ and len(found) < 3000
     assert len(residue.fingerprints([])) == 0 and residue.fingerprints(["", "x"]).shape == (2, 2)
+
+
+def test_furniture_and_signatures_of_what_tells(spark):
+    """Only texts that may hold furniture are searched for it, and what tells gets no fingerprint."""
+    for t in ("MENU  Search LOGIN x", "prıvacy polıcy", "Home | a | B text", "© 2020 Foo bar", "cookİe settİngs", "all rıghts reserved.", "Skip to content\nA note.", "Back to Top", "Terms of use", "nothing of it"):
+        assert residue_rules.plain(t) == residue_rules._FURN.sub("\n", residue_rules._BULLET.sub("", t)).strip()
+    d = spark.createDataFrame([(1, "The page was not found, she said. Bring the blue ladder to the barn.")], "doc_id long, text string")
+    got = {r.tells: (r.p0, r.p1) for r in residue.read_passages(d).collect()}
+    assert got[True] == (0, 0) != got[False] and len(got) == 2
